@@ -1,6 +1,6 @@
 """Filling containers of fixed capacity by the sum-of-squares rule.
 
-Documents are dealt to shards by a hash, a shard is packed in one pass in an order that is fixed by that hash. The
+Documents are dealt to shards by a hash; a shard is packed in one pass from the largest document to the smallest. The
 packer keeps, for each gap (room left), how many open containers have it; a document goes where the sum of the
 squares of these counts becomes smallest, which keeps a spread of gaps at hand and leaves little room unused.
 Only ids and sizes are moved. What the shards leave in partly filled containers is at most a few containers each.
@@ -93,7 +93,7 @@ def fill_containers(docs: DataFrame, id_col: str, text_col: str, capacity: int,
     shards = max(1, round(sized.count() / shard))
     seed = F.xxhash64("id", "n_tokens")
     dealt = sized.select("id", "n_tokens", seed.alias("h")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
-    dealt = dealt.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "h", "id", "n_tokens")
+    dealt = dealt.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "h", "id")
     return dealt.select("shard", "id", "n_tokens").mapInArrow(_pack(capacity), PLACED)
 
 
