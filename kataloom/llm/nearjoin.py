@@ -7,8 +7,8 @@ exhaustively, first by 128-bit sketches (one bit of each of 128 minwise words),
 are independent; their number is computed from the depths of the paths so that a pair at the threshold meets in
 at least one of them with the asked-for recall.
 
-How deep a path must go is read from word frequencies over the whole collection: words in at least 1/4096 of the
-sets are known (a list whose length is bounded by 4096 times the mean size of a set, whatever the collection's
+How deep a path must go is read from word frequencies over the whole collection: words in at least 1/16384 of the
+sets are known (a list whose length is bounded by 16384 times the mean size of a set, whatever the collection's
 size), and every other word counts as if it were just below that.
 """
 
@@ -31,7 +31,7 @@ from kataloom.session import staged
 WORD = re.compile(r"[^\W_]+")
 JVM_WORD = r"[\p{L}\p{N}]+"
 #: Share of the sets from which a word's frequency is known, documents expected in a small node, rows compared at once, depth.
-KNOWN, LEAF, CAP, DEPTH = 4096, 256, 1024, 8
+KNOWN, LEAF, CAP, DEPTH = 16_384, 256, 1024, 8
 BITS = 128
 #: Branches of a node at levels 1 and 2, and deeper.
 BRANCHES = (1, 1, 2)
@@ -79,35 +79,59 @@ def _word_sets(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 class _Plan:
-    """Number of trees and the frequencies that decide how deep paths go."""
+    """Number of trees and the frequencies that decide how deep paths go.
+
+    How often a word is the minwise one depends on the hash function: it must be in the set, and no word with a
+    smaller hash may be. Both follow from the frequencies of the known words, taken as independent.
+    """
 
     def __init__(self, sets: int, mean: float, known: dict[int, int], threshold: float, recall: float) -> None:
-        items = sorted(known.items())
-        self.words = np.array([w & 0xFFFFFFFF for w, _ in items], dtype=np.uint32)
-        order = np.argsort(self.words)
-        self.words = self.words[order]
-        # The chance that a word is a document's minwise word, if the document is drawn at random.
-        self.chance = (np.array([n for _, n in items], dtype=np.float64) / sets / mean)[order] if items else np.empty(0)
-        self.rest = 1 / KNOWN / mean
-        self.sets = sets
+        items = sorted((w & 0xFFFFFFFF, n) for w, n in known.items())
+        self.words = np.array([w for w, _ in items], dtype=np.uint32)
+        self.share = np.array([n for _, n in items], dtype=np.float64) / sets
+        self.sets, self.rare = sets, max(0.0, mean - self.share.sum())
+        self.functions: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        # Depths of paths by other hash functions, and from them the chance to meet in one tree.
         rng = np.random.default_rng(1)
-        mass = np.r_[self.chance, max(0.0, 1 - self.chance.sum())]
-        draws = rng.choice(len(mass), size=(20_000, DEPTH), p=mass / mass.sum())
-        sizes = sets * np.cumprod(np.r_[self.chance, self.rest][draws], axis=1)
-        stops = np.where((sizes <= LEAF).any(axis=1), (sizes <= LEAF).argmax(axis=1), DEPTH - 1)
+        mul, add = _families(16 * DEPTH, 3)
         meets = 0.0
-        for depth, n in zip(*np.unique(stops, return_counts=True)):
-            p = threshold
-            for level in range(int(depth), 0, -1):
-                p = threshold * (1 - (1 - p) ** _branches(level))
-            meets += p * n / len(stops)
+        for s in range(16):
+            size, at = np.full(2000, float(sets)), np.full(2000, DEPTH - 1)
+            for level in range(DEPTH):
+                chance = self._function(mul[s * DEPTH + level], add[s * DEPTH + level])[2]
+                mass = np.r_[chance, max(1e-9, 1 - chance.sum())]
+                drawn = rng.choice(len(mass), size=len(size), p=mass / mass.sum())
+                size = size * np.r_[chance, 0.5 / KNOWN][drawn]
+                at = np.where((size <= LEAF) & (at > level), level, at)
+            for depth, n in zip(*np.unique(at, return_counts=True)):
+                p = threshold
+                for level in range(int(depth), 0, -1):
+                    p = threshold * (1 - (1 - p) ** _branches(level))
+                meets += p * n / len(at) / 16
+        self.functions.clear()
         self.trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
-    def expected(self, words: np.ndarray) -> np.ndarray:
+    def _function(self, mul: np.uint32, add: np.uint32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a hash function: hashes of the known words, ascending; the chance that no known word is below each; the words' chances."""
+        key = (int(mul), int(add))
+        if key not in self.functions:
+            h = self.words * mul + add
+            order = np.argsort(h)
+            above = np.cumprod(np.r_[1.0, 1 - np.minimum(self.share[order], 0.999)])
+            chance = np.empty(len(h))
+            chance[order] = self.share[order] * above[:-1] * np.exp(-self.rare * (h[order] / 2.0**32))
+            self.functions[key] = (h[order], above, chance)
+        return self.functions[key]
+
+    def expected(self, words: np.ndarray, mul: np.uint32, add: np.uint32) -> np.ndarray:
+        """The chance of each word to be the minwise one; unknown words count as if just below the known ones."""
+        hashes, above, chance = self._function(mul, add)
+        h = words * mul + add
+        rest = above[np.searchsorted(hashes, h)] * np.exp(-self.rare * (h / 2.0**32)) / KNOWN
         if not len(self.words):
-            return np.full(len(words), self.rest)
+            return rest
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.chance[at], self.rest)
+        return np.where(self.words[at] == words, chance[at], rest)
 
 
 def _paths(plan: _Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,10 +172,11 @@ def _paths(plan: _Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     for level in range(DEPTH):
                         grown = []
                         for b in range(_branches(level)):
-                            word = pick(rows, tree * per_tree + (2 * level - 1 + b if level else 0))
+                            f = tree * per_tree + (2 * level - 1 + b if level else 0)
+                            word = pick(rows, f)
                             deeper = (node ^ word.astype(np.uint64) ^ (np.uint64(b) << np.uint64(40))) * np.uint64(0xD6E8FEB86659FD93)
                             deeper ^= deeper >> np.uint64(32)
-                            grown.append((rows, deeper, np.where(word == last, size, size * plan.expected(word)), word))
+                            grown.append((rows, deeper, np.where(word == last, size, size * plan.expected(word, mul[f], add[f])), word))
                         rows, node, size, last = (np.concatenate(x) for x in zip(*grown))
                         done = (size <= LEAF) | (level == DEPTH - 1)
                         if done.any():
