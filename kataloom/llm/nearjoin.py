@@ -29,7 +29,6 @@ from kataloom.operators.components import connected_components
 from kataloom.session import staged
 
 WORD = re.compile(r"[^\W_]+")
-JVM_WORD = r"[\p{L}\p{N}]+"
 #: Share of the sets from which a word's frequency is known, documents expected in a small node, rows compared at once, depth.
 KNOWN, LEAF, CAP, DEPTH = 16_384, 256, 1024, 8
 BITS = 128
@@ -311,12 +310,10 @@ def _across(over: DataFrame, links: DataFrame, apart: int) -> DataFrame:
     return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(apart), "a bigint, b bigint").distinct()
 
 
-def _confirmed(candidates: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+def _confirmed(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The candidate pairs whose words agree: shared >= num/den of all words of the two."""
-    ids = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORD), F.lit(0)))
-    texts = staged(rows.join(ids, "id", "left_semi").select("id", words.alias("w")), "words")
-    pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    words = sets.select("id", "words")
+    pairs = candidates.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     return pairs.select("a", "b", shared.alias("n"), (F.size("wa") + F.size("wb")).alias("m")).where(F.col("n") * den >= (F.col("m") - F.col("n")) * num).select("a", "b")
 
@@ -336,7 +333,8 @@ def near_duplicate_groups(
     are left out. Two documents are near if the words they share are at least threshold (numerator, denominator)
     of all words of the two; groups are the documents linked by near pairs, first_id is the smallest id of a group.
     Documents with the same words are one node of the search, so copies cost nothing beyond their row. Every
-    returned link is confirmed on the words themselves; a link at the threshold is found with probability
+    returned link is confirmed on the whole sets (of 32-bit word hashes: two different words of a pair share one with
+    a chance of about 1 in 10 million, which can shift the pair's count by one); a link at the threshold is found with probability
     ``recall`` at least, closer ones more often. Null ids and null texts are left out, ids are expected to be
     unique, an empty table gives no rows, other columns are ignored.
     """
@@ -356,11 +354,11 @@ def near_duplicate_groups(
     apart = int(BITS * differ + 3.7 * math.sqrt(BITS * differ * (1 - differ)))
     ordered = nodes.repartition("node").sortWithinPartitions("node", F.xxhash64("node", "id"))
     found = staged(ordered.mapInArrow(_compare(apart), _FOUND), "found")
-    links = staged(_confirmed(found.where("b is not null").select("a", "b").distinct(), rows, num, den), "links")
+    links = staged(_confirmed(found.where("b is not null").select("a", "b").distinct(), sets, num, den), "links")
     over = found.where("b is null").select("node", "a", "s1", "s2")
     if not over.isEmpty():
         more = staged(_across(over, links, apart), "across")
-        links = links.union(_confirmed(more, rows, num, den))
+        links = links.union(_confirmed(more, sets, num, den))
 
     groups = sets.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     roots = connected_components(links).select(F.col("node").alias("id"), "root")
