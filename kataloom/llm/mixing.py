@@ -17,7 +17,7 @@ from kataloom.llm.tokens import TOKENIZER, with_size
 from kataloom.session import staged
 
 #: Steps of the grid of rates (geometric, from 2**-20 to 2**10), and the largest table of targets.
-STEPS, LOW, HIGH, SOURCES = 20_000, -20.0, 10.0, 100_000
+STEPS, LOW, HIGH, SOURCES = 20_000, -20.0, 10.0, 1_000
 
 
 def source_key(source: Column) -> Column:
@@ -66,7 +66,7 @@ def mixture_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, t
         raise ValueError(f"more than {SOURCES} targets")
     sized = with_size(docs.withColumn("_key", source_key(F.col(source_col))), id_col, text_col, ["_key"], tokenizer)
     sized = staged(sized.where("id is not null and _key is not null and n_tokens > 0").withColumnRenamed("_key", "key").withColumn("u", _point("id", seed)), "sizes")
-    sizes = {r["key"]: r["n"] for r in sized.join(F.broadcast(_keys(sized, wanted)), "key").groupBy("key").agg(F.sum("n_tokens").alias("n")).collect()}
+    sizes = {r["key"]: r["n"] for r in sized.join(_keys(sized, wanted), "key").groupBy("key").agg(F.sum("n_tokens").alias("n")).collect()}
     present = [w for w in wanted if sizes.get(w["key"])]
     share = sum(w["target_share"] for w in present)
     size = total if total is not None else min((int(sizes[w["key"]] * w["max_repeats"] / (w["target_share"] / share)) for w in present), default=0)
@@ -75,19 +75,16 @@ def mixture_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, t
     top = max((w["max_repeats"] for w in present), default=1)
     steps = _first_steps(top, points)
     spark = docs.sparkSession
-    grid = spark.createDataFrame([(k + 1, i, s) for k, row in enumerate(steps) for i, s in enumerate(row)], "copy int, cell int, step int")
-    caps = F.broadcast(spark.createDataFrame([(w["key"], w["max_repeats"]) for w in present], "key string, cap int"))
-    cells = sized.join(caps, "key").groupBy("key", "cap", F.floor(F.col("u") * points).cast("int").alias("cell")).agg(F.sum("n_tokens").alias("n"))
-    by_step: dict[str, dict[tuple[int, int], int]] = {}
-    for r in cells.join(F.broadcast(grid), "cell").where("copy <= cap").groupBy("key", "copy", "cell").agg(F.sum("n").alias("n")).collect():
-        by_step.setdefault(r["key"], {})[(r["copy"], r["cell"])] = r["n"]
+    cells = sized.join(_keys(sized, present), "key").groupBy("key", F.floor(F.col("u") * points).cast("int").alias("cell")).agg(F.sum("n_tokens").alias("n"))
+    by_key: dict[str, list[tuple[int, int]]] = {}
+    for r in cells.collect():
+        by_key.setdefault(r["key"], []).append((r["cell"], r["n"]))
     plan = []
     for w in wanted:
         cap, goal = w["max_repeats"], 0.0 if w["key"] not in sizes else size * w["target_share"] / share
         cut = [points] * cap
-        have = by_step.get(w["key"], {})
         # Walk up the rates; a copy's cells come in with falling cell number, so the state is one cut-off per copy.
-        entries = sorted(((steps[k - 1][c], k, -c, n) for (k, c), n in have.items()))
+        entries = sorted(((steps[k - 1][c], k, -c, n) for k in range(1, cap + 1) for c, n in by_key.get(w["key"], [])))
         got, best = 0, (abs(goal), 0)
         for at, (_, k, c, n) in enumerate(entries, 1):
             got += n
@@ -101,6 +98,7 @@ def mixture_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, t
 
 
 def _keys(sized: DataFrame, wanted: list) -> DataFrame:
+    """The targets' keys, at most SOURCES rows."""
     return sized.sparkSession.createDataFrame([(w["key"],) for w in wanted], "key string").distinct()
 
 
@@ -119,7 +117,7 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     as each other. Ascending ``position_key`` is the global random order; it depends on the seed and the ids only.
     """
     sized, plan = mixture_plan(docs, id_col, text_col, source_col, targets, seed=seed, total=total, tokenizer=tokenizer)
-    used = sized.join(F.broadcast(plan.select("key", "cut")), "key").select("id", "key", "n_tokens", copies(F.col("u"), F.col("cut")).alias("k")).where("k > 0")
+    used = sized.join(plan.select("key", "cut"), "key").select("id", "key", "n_tokens", copies(F.col("u"), F.col("cut")).alias("k")).where("k > 0")
     rows = used.select(F.col("id").alias("doc_id"), F.col("key").alias("source"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"), "n_tokens")
     rows = rows.select(F.xxhash64(F.lit(seed + 1).cast("bigint"), "doc_id", "copy").alias("position_key"), "doc_id", "source", "copy", "n_tokens")
     return rows.repartitionByRange("position_key").sortWithinPartitions("position_key")
