@@ -23,14 +23,14 @@ def sitemap_urls(sitemaps: DataFrame, xml_col: str = "xml", path: str = ENTRY) -
     return rows.where(F.regexp_replace("url", r"[?#].*$", "").rlike(path)).distinct()
 
 
-@F.arrow_udf("string")
-def _unquoted(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unquote(t) for t in texts.to_pylist()], pa.string())
-
-
 def entry_key(url: Column, path: str = ENTRY) -> Column:
     """The decoded last part of an entry's address (a plus sign stays one), null for other addresses."""
-    return _unquoted(F.nullif(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), path, 1), F.lit("")))
+
+    @F.arrow_udf("string")
+    def unquoted(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unquote(t) for t in texts.to_pylist()], pa.string())
+
+    return unquoted(F.nullif(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), path, 1), F.lit("")))
 
 
 class _Fields(HTMLParser):
