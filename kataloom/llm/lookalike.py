@@ -20,7 +20,7 @@ from kataloom.session import staged
 #: Letters of other scripts that look like Latin ones, and those Latin letters, in the same order.
 LOOK_ALIKES = {
     "АВЕЅІЈКМНОРСТУХҮԚԜЁЇ": "ABESIJKMHOPCTYXYQWËÏ",
-    "асеѕіјорухүһԁԛԝёї": "aceѕijopyxyhdqwëï".replace("ѕ", "s"),
+    "асеѕіјорухүһԁԛԝёї": "acesijopyxyhdqwëï",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
     "ονϳ": "ovj",
     "ΆΈΉΊΌΎό": "ÁÉHÍÓÝó",
