@@ -117,7 +117,7 @@ _NOT_PHONE = re.compile(r"(?<!\w)(?:resi|jx|versi|error|voucher|kode pos|rp|musi
 _STREET = r"(?:jalan|jln|jl|gang|gg|lorong|lr|komplek|kompleks|komp|perumahan|perum|griya|dusun|dsn|kampung|kp|dukuh|blok|ruko|apartemen)"
 _NUMBER = r"(?:(?:no|nomor|nmr|nr|rt|rw|blok|blk|kav|kavling|km|unit|lantai|lt)(?:\s*[.:/]?\s*)(?:[a-z]{1,2}[\s./-]?)?\d|blok\s+[a-z]\d*\s+(?:no|nomor)\W*\d)"
 _ADDRESS = re.compile(
-    rf"(?<![\w-]){_STREET}(?![\w-])\.?\s+(?!tol(?!\w)|terus(?!\w))(?P<name>(?:[^\W\d_][\w'-]*[.,]?\s+){{1,5}}?)(?P<number>\d{{1,3}}[a-z]?\s*[,/]?\s*(?:{_NUMBER}[\w./]*)|{_NUMBER}[\w./-]*)"
+    rf"(?<![\w-]){_STREET}(?![\w-])\.?\s+(?!tol(?!\w)|terus(?!\w))(?P<name>(?:[^\W\d_][\w'-]*[.,]?\s+){{1,5}}?)(?P<number>\d{{1,3}}[a-z]?\s*[,/]?\s*(?:{_NUMBER}[\w.]*(?:/\d\w*)*)|{_NUMBER}[\w.-]*(?:/\d\w*)*)"
     rf"(?:\s*[,/]?\s*(?:rt|rw|no|nomor|blok)\W{{0,2}}\d+[\w./]*)*(?:,?\s+(?:kec|kel|desa|kab|kota)\.?\s+[^\W\d_]+)*(?:,?\s+(?:[^\W\d_]+\s+)?(?:kode\s+pos\s+)?\d{{5}}(?!\d))?",
     re.I,
 )
@@ -192,6 +192,8 @@ def _names(text: str, model: NameModel) -> Iterator[tuple[int, int, float]]:
                 run.append((w, 0))
             elif level == 2 or (level == 1 and (capital or run)):
                 run.append((w, level))
+            elif run and not address and run[-1][1] == 2 and len(w[0]) > 4 and model.plausible(w[0]):
+                run.append((w, 1))
             elif capital and len(w[0]) > 2 and len([x for x in run if x[1] >= 0]) < 3:
                 run.append((w, 1 if model.plausible(w[0]) else -1))
             else:
