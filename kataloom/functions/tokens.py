@@ -83,14 +83,17 @@ def all_ngrams(tokens: Column, sizes: Sequence[int]) -> Column:
 
 
 def counted_items(df: DataFrame, key: str, items: Column) -> DataFrame:
-    """(key, term, tf): the distinct items of each row's array with their counts, by sorting and run lengths.
+    """(key, term, tf): the distinct items of each key's arrays with their counts."""
+    return df.select(key, F.explode(items).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
-    Works inside the row, so nothing is shuffled. The steps are columns of their own: inside a lambda, Spark would
-    evaluate a nested expression again for every element.
+
+def item_frequencies(df: DataFrame, items: Column) -> DataFrame:
+    """(term, count, doc_freq) of the items of all arrays, each row being a document.
+
+    Occurrences and documents are two streams into one grouped sum: both are combined per task, and only the terms
+    are shuffled, with no distinct count.
     """
-    rows = df.select(F.col(key), F.array_sort(items).alias("_s")).where(F.size("_s") > 0)
-    at = F.sequence(F.lit(0), F.size("_s") - 1)
-    rows = rows.withColumn("_at", F.filter(at, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))))
-    rows = rows.withColumn("_n", F.size("_s"))
-    pairs = F.transform("_at", lambda p, k: F.struct(F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", k + 1), F.col("_n")) - p).cast("bigint").alias("tf")))
-    return rows.select(key, F.explode(pairs).alias("_p")).select(key, "_p.term", "_p.tf")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    every = df.select(F.explode(items).alias("term"), one.alias("n"), none.alias("d"))
+    once = df.select(F.explode(F.array_distinct(items)).alias("term"), none.alias("n"), one.alias("d"))
+    return every.union(once).groupBy("term").agg(F.sum("n").alias("count"), F.sum("d").alias("doc_freq"))

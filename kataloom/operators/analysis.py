@@ -9,7 +9,8 @@ from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from kataloom.config import Config
-from kataloom.functions.tokens import all_ngrams, counted_items
+from kataloom.functions.tokens import all_ngrams, counted_items, item_frequencies
+from kataloom.session import staged
 
 METRICS = ("pmi", "npmi", "raw")
 METHODS = ("frequency", "ngram", "tfidf", "cooccurrence")
@@ -28,22 +29,21 @@ def corpus_totals(docs: DataFrame) -> DataFrame:
 
 def term_frequency(docs: DataFrame) -> DataFrame:
     """(term, count, doc_freq, relative), most frequent first. One shuffle, on the term, of counts combined per task."""
-    counts = counted_items(docs, "comment_id", F.col("tokens")).groupBy("term").agg(F.sum("tf").alias("count"), F.count("*").alias("doc_freq"))
+    counts = item_frequencies(docs, F.col("tokens"))
     total = docs.agg(F.sum(F.size("tokens"))).first()[0] or 0
     return counts.withColumn("relative", F.col("count") / F.lit(total)).orderBy(F.desc("count"), "term")
 
 
 def count_ngrams(docs: DataFrame, sizes: Sequence[int], min_frequency: int = 1) -> DataFrame:
     """(term, size, count, doc_freq) of the n-grams of all sizes that occur at least ``min_frequency`` times."""
-    grams = counted_items(docs, "comment_id", all_ngrams(F.col("tokens"), sizes))
-    out = grams.groupBy("term").agg(F.sum("tf").alias("count"), F.count("*").alias("doc_freq")).where(F.col("count") >= min_frequency)
+    out = item_frequencies(docs, all_ngrams(F.col("tokens"), sizes)).where(F.col("count") >= min_frequency)
     return out.select("term", (F.regexp_count("term", F.lit(" ")) + 1).alias("size"), "count", "doc_freq").orderBy(F.desc("count"), "size", "term")
 
 
 def tfidf(docs: DataFrame, sizes: Sequence[int] = (1,), *, sublinear_tf: bool = True, smooth_idf: bool = True) -> DataFrame:
     """(term, score, doc_freq, max_weight): the sum and the maximum of a term's L2-normalised weights over documents.
 
-    The norm of a document spans the n-grams of all sizes. Three shuffles: terms, documents, terms.
+    The norm of a document spans the n-grams of all sizes. The counts per document are shuffled once and read by both sides of the join.
     """
     grams = counted_items(docs, "comment_id", all_ngrams(F.col("tokens"), sizes))
     n = docs.count()
@@ -62,7 +62,7 @@ def window_pairs(tokens: Column, window: int) -> Column:
     """array<struct<l, r>> of the tokens within a window: each with the next window - 1 ones."""
     def shifted(k: int) -> Column:
         n = F.greatest(F.size(tokens) - k, F.lit(0))
-        return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(k + 1), n), lambda a, b: F.struct(F.least(a, b).alias("l"), F.greatest(a, b).alias("r")))
+        return F.arrays_zip(F.slice(tokens, F.lit(1), n).alias("l"), F.slice(tokens, F.lit(k + 1), n).alias("r")).cast("array<struct<l:string,r:string>>")
 
     return F.flatten(F.array(*[shifted(k) for k in range(1, window)]))
 
@@ -78,9 +78,10 @@ def cooccurrence(docs: DataFrame, *, window: int = 5, min_pair_frequency: int =
     if window < 2:
         return docs.sparkSession.createDataFrame([], schema)
     pairs = docs.select(F.explode(window_pairs(F.col("tokens"), window)).alias("p")).where("p.l <> p.r")
-    counts = pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.count("*").alias("count"))
-    marginal = pairs.select(F.explode(F.array("p.l", "p.r")).alias("token")).groupBy("token").agg(F.count("*").alias("m"))
-    twice = marginal.agg(F.sum("m")).first()[0] or 1
+    counts = staged(pairs.groupBy(F.least("p.l", "p.r").alias("left"), F.greatest("p.l", "p.r").alias("right")).agg(F.count("*").alias("count")), "pairs")
+    ends = counts.select(F.col("left").alias("token"), "count").union(counts.select("right", "count"))
+    marginal = ends.groupBy("token").agg(F.sum("count").alias("m"))
+    twice = 2 * (counts.agg(F.sum("count")).first()[0] or 0) or 1
     kept = counts.where(F.col("count") >= min_pair_frequency)
     out = kept.join(marginal.select(F.col("token").alias("left"), F.col("m").alias("ml")), "left").join(marginal.select(F.col("token").alias("right"), F.col("m").alias("mr")), "right")
     t = float(twice)

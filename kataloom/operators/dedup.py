@@ -16,13 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kataloom.functions.tokens import shingles
 from kataloom.session import staged
 
 #: Fingerprints expected under one key of a block table.
 BUCKET = 64
 
 
+def _shingles(tokens: list[str], size: int) -> list[str]:
+    """As functions.tokens.shingles, for lists: in an expression, Spark would evaluate the tokens again for each one."""
+    if len(tokens) < size:
+        return [" ".join(tokens)] if tokens else []
+    return [" ".join(tokens[i : i + size]) for i in range(len(tokens) - size + 1)]
+
+
 def _votes(parts: list[list[str]], bits: int) -> np.ndarray:
     """Fingerprints of lists of shingles; an empty list gives 0."""
     width = max(1, bits // 8)
@@ -43,11 +49,12 @@ def simhash(tokens: Column, bits: int = 64, shingle_size: int = 3) -> Column:
     """The SimHash of a token array as a (two's complement) bigint; 0 for an empty array, null for null."""
 
     @F.arrow_udf("bigint")
-    def run(parts: pa.Array) -> pa.Array:
-        lists = parts.to_pylist()
-        return pa.array(_votes([x or [] for x in lists], bits).view(np.int64), pa.int64(), mask=np.array([x is None for x in lists], dtype=bool))
+    def run(column: pa.Array) -> pa.Array:
+        lists = column.to_pylist()
+        parts = [_shingles(x or [], shingle_size) for x in lists]
+        return pa.array(_votes(parts, bits).view(np.int64), pa.int64(), mask=np.array([x is None for x in lists], dtype=bool))
 
-    return run(F.when(tokens.isNotNull(), shingles(tokens, shingle_size)))
+    return run(tokens)
 
 
 def simhash_hex(value: Column) -> Column:
