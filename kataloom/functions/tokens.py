@@ -24,7 +24,9 @@ def apply_slang(tokens: Column, mapping: Mapping[str, str]) -> Column:
     if not mapping:
         return tokens
     table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return F.flatten(F.transform(tokens, lambda t: F.split(F.coalesce(F.try_element_at(table, t), t), " ")))
+    # A map literal is searched from end to end, the set of its keys by hash: only hits reach the map.
+    mapped = F.transform(tokens, lambda t: F.when(t.isin(*mapping), F.try_element_at(table, t)).otherwise(t))
+    return F.when(F.size(tokens) > 0, F.split(F.array_join(mapped, " "), " ")).otherwise(tokens)
 
 
 def filter_tokens(tokens: Column, stop: Sequence[str], min_length: int = 2, drop_numeric: bool = True) -> Column:
