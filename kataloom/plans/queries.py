@@ -187,10 +187,15 @@ def near_pairs(t: Tables) -> DataFrame:
 
 @query
 def near_duplicates(t: Tables) -> DataFrame:
-    """Exact and near duplicates of the stored fingerprints, resolved greedily in the order of ids."""
-    rows = t.cleaned_comments.where("simhash is not null and norm_hash is not null").select(
-        "id", F.lower("norm_hash").alias("norm_hash"), dedup.from_hex(F.col("simhash")).alias("v"), (F.coalesce(F.size("tokens"), F.lit(0)) > 0).alias("has_tokens")
-    )
+    """Exact and near duplicates of the stored rows, resolved greedily in the order of ids.
+
+    A missing hash is that of ``text_clean``, a missing fingerprint that of the tokens, or of the text's where these are missing too.
+    """
+    stored = F.filter("tokens", lambda x: x != "")
+    tokens = F.when(F.col("simhash").isNull(), F.coalesce(stored, K.tokenized(F.col("text_clean"), CONFIG.section("cleaning"))))
+    rows = t.cleaned_comments.select(
+        "id", F.coalesce(F.lower("norm_hash"), T.text_hash(F.col("text_clean"))).alias("norm_hash"), F.coalesce(dedup.from_hex(F.col("simhash")), dedup.simhash(tokens)).alias("v")
+    ).withColumn("has_tokens", F.coalesce(F.col("v") != 0, F.lit(False)))
     marked = dedup.mark_duplicates(rows)
     return marked.where("is_duplicate").select("id", "duplicate_of", "duplicate_kind")
 
