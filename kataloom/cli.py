@@ -154,8 +154,6 @@ class Commands:
         if a.reprocess:
             self.store.overwrite("cleaned_comments", self.store.read("cleaned_comments").limit(0))
         clean_batch(self.store, self.store.read("comments"), self.config)
-        rows = cleaning.recount_copypasta(self.store.read("cleaned_comments"), self.store.read("comments"), self.config)
-        self.store.overwrite("cleaned_comments", rows)
         cleaned = self.store.read("cleaned_comments")
         stats = cleaning.cleaning_stats(cleaned).first().asDict()
         return report.key_values(stats, "Cleaning") + "\n\n" + self._show(spam.spam_by_rule(cleaned))

@@ -28,15 +28,19 @@ def prepared(comments: DataFrame, config: Config, stem: Callable[[str], str] | N
     return rows.select("id", "source_id", "text_clean", "tokens", "reasons", T.text_hash(F.col("text_clean")).alias("norm_hash"), simhash(F.col("tokens"), dedup["bits"], dedup["shingle_size"]).alias("v"))
 
 
-def clean(comments: DataFrame, config: Config | None = None, prior: DataFrame | None = None, stem: Callable[[str], str] | None = None) -> DataFrame:
+def clean(
+    comments: DataFrame, config: Config | None = None, prior: DataFrame | None = None, stem: Callable[[str], str] | None = None, sources: DataFrame | None = None
+) -> DataFrame:
     """Cleaned rows of ``comments`` that have none in ``prior`` yet (all of them without ``prior``).
 
     Columns: comment_id, text_clean, tokens, language (null), is_duplicate, duplicate_of, is_spam, spam_reason,
     norm_hash, simhash, and reasons (structured). Ids give the order in which originals are chosen. With ``prior``,
     only its originals are matched against, so a copy of an earlier near duplicate points to the root original.
-    Copypasta counts ``prior`` rows only through a later full run, see ``recount_copypasta``.
+    Copypasta is counted over ``prior`` and the new rows; ``sources`` are the comments of ``prior`` (by default,
+    ``comments`` holds them). The rows of ``prior`` that a new copy makes spam are marked by ``recount_copypasta``.
     """
     config = config or Config()
+    sources = comments if sources is None else sources
     if prior is not None:
         comments = comments.join(prior.select(F.col("comment_id").alias("id")), "id", "left_anti")
     rows = staged(prepared(comments, config, stem), "prepared").withColumn("has_tokens", F.size("tokens") > 0)
@@ -46,17 +50,24 @@ def clean(comments: DataFrame, config: Config | None = None, prior: DataFrame |
     d = config.section("dedup")
     marked = mark_duplicates(rows, known, bits=d["bits"], threshold=d["hamming_threshold"], bands=d["bands"], enabled=d["enabled"])
     out = marked.withColumn("is_spam", F.size("reasons") > 0).withColumn("spam_reason", reason_text(F.col("reasons")))
-    out = mark_copypasta(out, config.section("spam"))
+    if prior is not None:
+        # Counted and marked from here, instead of resolving the duplicates again for each.
+        out = staged(out, "marked")
+    out = mark_copypasta(out, config.section("spam"), None if prior is None else with_sources(prior, sources))
     return out.select(
         F.col("id").alias("comment_id"), "text_clean", "tokens", F.lit(None).cast("string").alias("language"), "is_duplicate", "duplicate_of",
         "is_spam", "spam_reason", "norm_hash", simhash_hex(F.col("v")).alias("simhash"), "reasons",
     )
 
 
+def with_sources(cleaned: DataFrame, comments: DataFrame) -> DataFrame:
+    """``cleaned`` with the source ids of its comments, null where a comment is not known."""
+    return cleaned.join(comments.select(F.col("id").alias("comment_id"), "source_id"), "comment_id", "left")
+
+
 def recount_copypasta(cleaned: DataFrame, comments: DataFrame, config: Config | None = None) -> DataFrame:
     """The corpus-wide copypasta rule over all cleaned rows, with the source ids of their comments."""
-    sources = comments.select(F.col("id").alias("comment_id"), "source_id")
-    marked = mark_copypasta(cleaned.join(sources, "comment_id"), (config or Config()).section("spam"))
+    marked = mark_copypasta(with_sources(cleaned, comments), (config or Config()).section("spam"))
     return marked.select(*cleaned.columns)
 
 

@@ -72,16 +72,21 @@ def copypasta_groups(cleaned: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("norm_hash").agg(F.countDistinct("source_id").alias("copies")).where(F.col("copies") >= least)
 
 
-def mark_copypasta(cleaned: DataFrame, spam: Mapping[str, Any]) -> DataFrame:
+def mark_copypasta(cleaned: DataFrame, spam: Mapping[str, Any], stored: DataFrame | None = None) -> DataFrame:
     """``cleaned`` (with source_id) with every member of a copypasta group marked as spam, also the first one.
 
+    ``stored`` holds rows (norm_hash, text_clean, source_id) that count as well but are not returned. Hashes are compared without case.
     Rows that are spam already keep their reason. Nothing is done if spam rules are off or copypasta_min is below 2.
     """
     least = spam.get("copypasta_min", 5)
     if not spam.get("enabled", True) or least < 2:
         return cleaned
-    groups = copypasta_groups(cleaned, least)
-    rows = cleaned.join(groups, "norm_hash", "left")
+    counted = cleaned.select(F.lower("norm_hash").alias("norm_hash"), "text_clean", "source_id")
+    if stored is not None:
+        same = stored.select(F.lower("norm_hash").alias("norm_hash"), "text_clean", "source_id").join(counted.select("norm_hash").distinct(), "norm_hash", "left_semi")
+        counted = counted.unionByName(same)
+    groups = copypasta_groups(counted, least).withColumnRenamed("norm_hash", "group_hash")
+    rows = cleaned.join(groups, F.lower("norm_hash") == F.col("group_hash"), "left")
     hit = F.col("copies").isNotNull() & ~F.col("is_spam") & (F.col("text_clean") != "")
     reason = F.concat(F.lit("copypasta ("), F.col("copies").cast("string"), F.lit(f" >= {least})"))
     return rows.withColumn("spam_reason", F.when(hit, reason).otherwise(F.col("spam_reason"))).withColumn("is_spam", F.col("is_spam") | hit).select(*cleaned.columns)

@@ -14,18 +14,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kataloom.config import Config
 from kataloom.functions import text as T
-from kataloom.operators.cleaning import clean
+from kataloom.operators.cleaning import clean, recount_copypasta
 from kataloom.operators.store import Store
 from kataloom.sources.collect import new_comments, utc_now
 
 
 def clean_batch(store: Store, batch: DataFrame, config: Config | None = None, now: Callable[[], str] = utc_now) -> None:
-    """Clean the comments of a batch that have no cleaned row yet, and append them. Running it again adds nothing."""
+    """Clean the comments of a batch that have no cleaned row yet, append them, and mark stored rows that have become copypasta.
+
+    Running it again adds nothing. The source ids of earlier rows are those of the stored comments.
+    """
     prior = store.read("cleaned_comments")
-    rows = clean(batch, config, prior)
+    sources = store.read("comments").select("id", "source_id").union(batch.select("id", "source_id")).dropDuplicates(["id"])
+    rows = clean(batch, config, prior, sources=sources)
     top = prior.agg(F.max("id")).first()[0] or 0
     rows = rows.select((F.col("comment_id") + F.lit(top)).alias("id"), *[c for c in rows.columns if c != "reasons"], F.lit(now()).cast("timestamp").alias("processed_at"))
     store.append("cleaned_comments", rows)
+    stored = store.read("cleaned_comments")
+    marked = recount_copypasta(stored, sources, config)
+    # Marking only adds spam, so equal counts mean equal tables.
+    spam = F.count_if("is_spam")
+    if marked.agg(spam).first() != stored.agg(spam).first():
+        store.overwrite("cleaned_comments", marked)
 
 
 def cleaning_stream(comments: DataFrame, store: Store, checkpoint: str, config: Config | None = None) -> StreamingQuery:

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kataloom.operators import dedup
+from kataloom.operators.store import Store
 from kataloom.plans.queries import queries
+from kataloom.streaming.incremental import clean_batch
 
 CLEANED = "id bigint, text_clean string, tokens array<string>, norm_hash string, simhash string"
 TEXT = "cerita kopi hangat dari desa kecil di lereng gunung tinggi sekali"
@@ -46,3 +48,29 @@ def test_near_duplicates_with_missing_hashes(spark, frame, folder):
     assert {r["id"]: (r["duplicate_of"], r["duplicate_kind"]) for r in got} == {
         2: (1, "exact"), 4: (3, "near"), 5: (3, "near"), 6: (3, "near"), 7: (3, "exact"), 10: (9, "exact"),
     }
+
+
+COMMENTS = "id bigint, source_id string, text_raw string"
+FULL = "id bigint, comment_id bigint, text_clean string, is_duplicate boolean, is_spam boolean, norm_hash string, simhash string"
+
+
+def test_incremental_copypasta_counts_stored_rows(frame, folder):
+    text, other = "komentar panjang sama persis semuanya", "komentar lain yang berbeda sekali"
+    comments = [(i, f"c{i}", text) for i in range(1, 6)] + [(6, "c1", other), (7, "c2", other), (8, "c2", other), (9, "c3", other), (10, "c4", other)]
+    stored = [(i, i, text, i > 1, False, _sha(text).upper() if i % 2 else _sha(text), None) for i in range(1, 5)] + [(i, i, other, i > 6, False, _sha(other), None) for i in range(6, 10)]
+    path = folder(comments=frame(comments, COMMENTS), cleaned_comments=frame(stored, FULL))
+    got = {r["comment_id"]: (r["duplicate_of"], r["is_spam"]) for r in queries()["incremental_clean"](frame([], COMMENTS).sparkSession, path).collect()}
+    assert got == {5: (1, True), 10: (6, False)}
+
+
+def test_batches_mark_stored_copies(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.initialize()
+    texts = ["komentar panjang sama persis semuanya"] * 5 + ["komentar lain yang berbeda sekali"]
+    rows = store.rows("comments", [{"id": i, "source": "f", "source_id": str(i), "text_raw": t} for i, t in enumerate(texts, 1)])
+    store.append("comments", rows)
+    for at, want in (("id < 5 or id = 6", set()), ("id = 5", {1, 2, 3, 4, 5}), ("id = 5", {1, 2, 3, 4, 5})):
+        clean_batch(store, rows.where(at))
+        got = store.read("cleaned_comments").select("comment_id", "is_spam", "spam_reason").collect()
+        assert {r[0] for r in got if r[1]} == want and all(r[2] == "copypasta (5 >= 5)" for r in got if r[1])
+    assert len(got) == 6
