@@ -176,15 +176,27 @@ def copypasta(t: Tables) -> DataFrame:
     return spam.copypasta_groups(rows, 2)
 
 
+def _fingerprints(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of the stored fingerprints, and of the first row of each."""
+    values = t.cleaned_comments.where("simhash is not null").select("id", dedup.from_hex(F.col("simhash")).alias("v")).where("v <> 0")
+    return values, values.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+
+
 @query
 def near_pairs(t: Tables) -> DataFrame:
-    """Pairs of stored fingerprints within three bits, between the first rows of each fingerprint."""
-    values = t.cleaned_comments.where("simhash is not null").select("id", dedup.from_hex(F.col("simhash")).alias("v")).where("v <> 0")
-    first = values.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    """Pairs of stored fingerprints within three bits, between the first rows of each fingerprint; ``near_pair_members`` has the other rows."""
+    _, first = _fingerprints(t)
     pairs = dedup.near_pairs(first, 64, 3)
     return pairs.select("a", "b", dedup.hamming(F.col("va"), F.col("vb")).cast("bigint").alias("bits"), dedup.first_shared_band(F.col("va"), F.col("vb"), 64, 4).cast("bigint").alias("band"))
 
 
+@query
+def near_pair_members(t: Tables) -> DataFrame:
+    """Each row with the first row of its fingerprint, which stands for it in ``near_pairs``; the two together give every link."""
+    values, first = _fingerprints(t)
+    return values.join(first.withColumnRenamed("id", "representative"), "v").select("id", "representative", F.lit(0).cast("bigint").alias("bits"))
+
+
 @query
 def near_duplicates(t: Tables) -> DataFrame:
     """Exact and near duplicates of the stored rows, resolved greedily in the order of ids.

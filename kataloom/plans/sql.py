@@ -134,6 +134,8 @@ def oracle_sql() -> dict[str, str]:
         "near_pairs": """with v as (select min(id) as id, ('0x' || simhash)::ubigint as v from cleaned_comments where simhash is not null and simhash <> '0000000000000000' group by 2),
             k as (select id, v, b, (v >> (16 * b)::ubigint) & 65535::ubigint as key from v, (select unnest(range(4)) as b))
             select a.id as a, b.id as b, any_value(bit_count(xor(a.v, b.v)))::bigint as bits, min(a.b) as band from k a join k b on a.b = b.b and a.key = b.key and a.id < b.id where bit_count(xor(a.v, b.v)) <= 3 group by all""",
+        "near_pair_members": """with v as (select id, ('0x' || simhash)::ubigint as v from cleaned_comments where simhash is not null and simhash <> '0000000000000000')
+            select id, representative, 0::bigint as bits from v join (select v, min(id) as representative from v group by v) using (v)""",
         "corpus_totals": f"with docs as ({DOCS}) select count(*) as documents, sum(len(tokens))::bigint as tokens from docs",
         "usable_corpus": f"with docs as ({DOCS}) select comment_id, len(tokens) as n_tokens from docs",
         "term_frequency": f"with docs as ({DOCS}), t as (select comment_id, unnest(tokens) as term from docs) select term, count(*) as \"count\", count(distinct comment_id) as doc_freq, round(count(*) / (select count(*) from t)::double, 6) as relative from t group by term",

@@ -74,3 +74,14 @@ def test_batches_mark_stored_copies(spark, tmp_path):
         got = store.read("cleaned_comments").select("comment_id", "is_spam", "spam_reason").collect()
         assert {r[0] for r in got if r[1]} == want and all(r[2] == "copypasta (5 >= 5)" for r in got if r[1])
     assert len(got) == 6
+
+
+def test_near_pairs_with_members_give_every_link(spark, frame, folder):
+    values = [7, 7, 7 ^ 1, 7 ^ 1, 7 ^ 0b1110, 1 << 40, 7, (1 << 63) | 7, 0, 0, None]
+    rows = [(i, f"teks {i}", [f"t{i}"], _sha(str(i)), None if v is None else f"{v:016x}") for i, v in enumerate(values, 1)]
+    path = folder(cleaned_comments=frame(rows, CLEANED))
+    first = {r["id"]: r["representative"] for r in queries()["near_pair_members"](spark, path).collect()}
+    bits = {(r["a"], r["b"]): r["bits"] for r in queries()["near_pairs"](spark, path).collect()}
+    got = {(a, b): bits.get(tuple(sorted((first[a], first[b]))), 0 if first[a] == first[b] else None) for a in first for b in first if a < b}
+    want = {(a, b): bin(v ^ w).count("1") for a, v in enumerate(values, 1) for b, w in enumerate(values, 1) if a < b and v and w}
+    assert {k: n for k, n in got.items() if n is not None} == {k: n for k, n in want.items() if n <= 3}
