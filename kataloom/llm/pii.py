@@ -39,6 +39,8 @@ def _fold_char(c: str) -> str:
             got = ""
         elif kind == "Zs":
             got = " "
+        elif kind == "Nd":
+            got = str(unicodedata.decimal(m))
         else:
             base = "".join(x for x in unicodedata.normalize("NFKD", m) if unicodedata.category(x) not in ("Mn", "Me"))
             got = base if len(base) == 1 else m
@@ -96,8 +98,11 @@ _WORD_DIGITS = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:[\s.,-]+{_DIGIT_WORD}){{7,15
 
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _DOT = r"(?:\s?\.\s?(?=[a-z])|\s*[\[({]\s*(?:dot|titik|\.)\s*[\])}]\s*|\s+(?:dot|titik)\s+)"
+_BRACKETED_AT, _WORD_AT = r"[\[({]\s*(?:at|@|a)\s*[\])}]", r"\s(?:at|et)\s"
+#: Some part of every address that _EMAIL accepts, and of every span with a digit.
+_MAY_BE_EMAIL, _DIGIT = re.compile(rf"@|{_BRACKETED_AT}|{_WORD_AT}", re.I), re.compile(r"\d")
 _EMAIL = re.compile(
-    rf"(?<![\w.+@-])[a-z0-9_][a-z0-9_.+-]*(?:@|\s+@\s+|\s*[\[({{]\s*(?:at|@|a)\s*[\])}}]\s*|\s+(?:at|et)\s+(?=\S+{_DOT}))"
+    rf"(?<![\w.+@-])[a-z0-9_][a-z0-9_.+-]*(?:@|\s+@\s+|\s*{_BRACKETED_AT}\s*|\s*{_WORD_AT}\s*(?=\S+{_DOT}))"
     rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*?(?:\.|{_DOT})[a-z]{{2,}}(?:(?:\.|\s*[\[({{]\s*(?:dot|titik)\s*[\])}}]\s*)[a-z]{{2,}})*",
     re.I,
 )
@@ -243,11 +248,10 @@ def find(text: str, model: NameModel) -> list[tuple[int, int, str, float]]:
             found.append((s, e, kind, score))
 
     low = t.lower()
-    if "@" in t or "(at)" in low or "[at]" in low or "{at}" in low or "(a)" in low or " at " in low or "( at" in low or "[ at" in low:
+    if _MAY_BE_EMAIL.search(t):
         for m in _EMAIL.finditer(t):
             propose(m.start(), m.end(), "email", 0.9)
-    has_digit = any("0" <= c <= "9" for c in t)
-    if has_digit:
+    if _DIGIT.search(t):
         for m in _PASSPORT.finditer(t):
             propose(m.start(1), m.end(1), "id_number", 0.9)
         for m in _SIXTEEN.finditer(t):
