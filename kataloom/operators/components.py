@@ -28,7 +28,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, root) for every node that occurs in ``edges``; root is the smallest node of its component.
 
     Nodes must be of an orderable type. Rows with a null end and self-loops carry no link: an end that occurs
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     )
     mark = None
     for _ in range(max_rounds):
-        now = staged(_star(_star(now, large=True), large=False), "stars")
+        now = staged(_star(_star(now, large=True), large=False), "stars", [now])
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or seen[0] == 0:
             break
@@ -51,3 +51,12 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         raise RuntimeError("connected components did not settle")
     members = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def merged_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after ``links`` (a, b) between nodes, in or outside of ``roots``: only the components that they touch are worked on."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    roots = staged(roots.union(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))), "roots")
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+    to = connected_components(links.join(a, "a").join(b, "b"), "_a", "_b").select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return roots.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))

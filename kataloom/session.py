@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,8 +56,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the scratch folder and return it as read from there (lineage cut)."""
+def staged(df: DataFrame, name: str, after: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` into the scratch folder and return it as read from there (lineage cut).
+
+    ``after`` are staged tables that nothing but ``df`` needs any more: they are removed once it is written.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    discard(*after)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables. Only for those that no result and no later step reads: what is lost with an executor is read again from them."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            df._staged_at = None
