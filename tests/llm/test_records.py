@@ -158,9 +158,11 @@ def test_near_duplicates_against_brute_force(frame, monkeypatch, leaf):
     assert got == brute_groups(rows, 7, 10, 10)
 
 
-def test_hot_near_duplicates(frame, monkeypatch):
+@pytest.mark.parametrize("limits", [{"CAP": 20}, {"CAP": 20, "CELL": 25}, {"DENSE": 1, "CELL": 7}, {"CAP": 5, "CELL_WORDS": 100, "HOT": 100, "SAMPLE": 120}], ids=str)
+def test_hot_near_duplicates(frame, monkeypatch, limits):
     # A node above CAP: a third of the rows are near-copies of one another, the rest must still be found.
-    monkeypatch.setattr(nearjoin, "CAP", 20)
+    for name, value in limits.items():
+        monkeypatch.setattr(nearjoin, name, value)
     rng = random.Random(2)
     base = [f"h{k}" for k in range(20)]
     rows = [(i, " ".join(base[:18] + [f"x{i}"])) for i in range(150)]
@@ -177,7 +179,7 @@ def test_blocks_of_a_large_node_cover_it():
 
     ids = np.arange(len(node))
     s = rng.integers(-(2**62), 2**62, (2, len(node)))
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (node, ids, s[0], s[1])], names=["node", "id", "s1", "s2"])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (node, ids, s[0], s[1], np.zeros(len(node), np.int64))], names=["node", "id", "s1", "s2", "hot"])
     out = [b for b in nearjoin._compare(0)(batch.slice(k, 60_000) for k in range(0, len(node), 60_000))]
     over = np.concatenate([b.column("a").to_numpy()[b.column("b").is_null().to_numpy(zero_copy_only=False)] for b in out])
     assert len(over) == 250_000 and len(np.unique(over)) == 250_000
