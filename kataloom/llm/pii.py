@@ -5,7 +5,8 @@ mapped to Latin, accents dropped) and keeps for each folded character its place
 placeholders replace the original spans and the rest of the text stays as it was.
 
 A span's score starts from its pattern and is raised or lowered by its validators and by the words around it; spans
-of at least ``THRESHOLD`` are kept, overlaps go to the earlier kind in ``KINDS``.
+of at least ``THRESHOLD`` are kept, overlaps go to the earlier kind in ``KINDS``. Checksums decide where a number has one:
+16 digits are a citizen number by their date or a payment card by their Luhn digit, an account number needs its mod-97 digits.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from kataloom.llm.lookalike import mapping
 
-KINDS = ("email", "id_number", "phone", "address", "name")
+KINDS = ("email", "id_number", "phone", "address", "name", "card", "account")
 THRESHOLD = 0.5
-#: Largest table of name parts that is sent to the executors.
+#: Name parts up to which the table is collected and sent as a list; beyond, every task reads it from the shared folder.
 NAME_PARTS = 200_000
 
 # ---------------------------------------------------------------------------------------------- folding
@@ -85,6 +86,11 @@ def citizen_number(digits: str) -> bool:
     return len(digits) == 16 and digits[:2] >= "10" and 1 <= (day - 40 if day > 40 else day) <= 31 and 1 <= month <= 12 and digits[12:] != "0000"
 
 
+def spelled_digits(text: str) -> str:
+    """The digits of a run of number words."""
+    return "".join(_DIGIT_OF[w] for w in re.findall(r"[a-z]+", text.lower()) if w in _DIGIT_OF)
+
+
 def _phone_digits(text: str) -> str:
     return re.sub(r"\D", "", text.translate(_LETTERS_AS_DIGITS))
 
@@ -94,6 +100,7 @@ _LETTERS_AS_DIGITS = str.maketrans("OoQlI|", "000111")
 # ---------------------------------------------------------------------------------------------- patterns
 
 _DIGIT_WORD = r"(?:nol|kosong|satu|dua|tiga|empat|lima|enam|tujuh|delapan|sembilan)"
+_DIGIT_OF = {"nol": "0", "kosong": "0", "satu": "1", "dua": "2", "tiga": "3", "empat": "4", "lima": "5", "enam": "6", "tujuh": "7", "delapan": "8", "sembilan": "9"}
 _WORD_DIGITS = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:[\s.,-]+{_DIGIT_WORD}){{7,15}}(?!\w)", re.I)
 
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
@@ -112,6 +119,9 @@ _CARD_WORDS = re.compile(r"(?<!\w)(?:kartu kredit|kartu debit|visa|mastercard|re
 _SIXTEEN = re.compile(r"(?<![\w.,/-])(?:\d[ .\-]?){15}\d(?![\w]|[.,/-]\d)")
 _TAX = re.compile(r"(?<![\w.,/-])\d{2}[. ]?\d{3}[. ]?\d{3}[. ]?\d[-. ]?\d{3}[. ]?\d{3}(?![\w]|[.,/-]\d)")
 _TAX_WORDS = re.compile(r"(?<!\w)(?:npwp|pajak)(?!\w)", re.I)
+#: Numbers of payment cards by their length and first digit; account numbers with a country and two check digits.
+_CARD = re.compile(r"(?<![\w.,/-])[3-6](?:[ \-]?\d){12,18}(?![\w]|[.,/-]\d)")
+_ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _PASSPORT = re.compile(r"(?<!\w)(?:no(?:mor)?\.?\s*)?(?:paspor|passport|pasport)(?:\s*(?:no|nomor|saya|number|ku))*\W{0,4}([a-z]{1,2}\s?-?\s?\d{6,8})(?!\w)", re.I)
 
 _D = r"[\dOol]"
@@ -247,17 +257,17 @@ def find(text: str, model: NameModel) -> list[tuple[int, int, str, float]]:
         if score >= THRESHOLD and free(s, e):
             found.append((s, e, kind, score))
 
-    low = t.lower()
+    has_digit = _DIGIT.search(t) is not None
     if _MAY_BE_EMAIL.search(t):
         for m in _EMAIL.finditer(t):
             propose(m.start(), m.end(), "email", 0.9)
-    if _DIGIT.search(t):
+    if has_digit:
         for m in _PASSPORT.finditer(t):
             propose(m.start(1), m.end(1), "id_number", 0.9)
         for m in _SIXTEEN.finditer(t):
             digits, before = re.sub(r"\D", "", m[0]), t[max(0, m.start() - 25) : m.start()]
             score = 0.6 if citizen_number(digits) else 0.1
-            score += 0.3 * bool(_ID_WORDS.search(before)) - 0.6 * bool(_CARD_WORDS.search(before)) - 0.05 * luhn(digits)
+            score += 0.3 * bool(_ID_WORDS.search(before)) - 0.6 * bool(_CARD_WORDS.search(before))
             propose(m.start(), m.end(), "id_number", score)
         for m in _TAX.finditer(t):
             before = t[max(0, m.start() - 25) : m.start()]
@@ -275,11 +285,19 @@ def find(text: str, model: NameModel) -> list[tuple[int, int, str, float]]:
             propose(m.start(), m.end(), "address", 0.8)
         for m in _ADDRESS_BARE.finditer(t):
             propose(m.start(), m.end(), "address", 0.6)
-    if "delapan" in low or "nol" in low or "kosong" in low:
-        for m in _WORD_DIGITS.finditer(t):
-            propose(m.start(), m.end(), "phone", 0.8)
+    for m in _WORD_DIGITS.finditer(t):
+        # Spelled out, a number is one to call if it begins as one; counting from one to ten isn't.
+        propose(m.start(), m.end(), "phone", 0.8 if re.match(r"0[2-9]|62", spelled_digits(m[0])) else 0.3)
     for s, e, score in _names(t, model):
         propose(s, e, "name", score)
+    if has_digit:
+        for m in _CARD.finditer(t):
+            before = t[max(0, m.start() - 25) : m.start()]
+            score = 0.6 * luhn(re.sub(r"\D", "", m[0])) + 0.3 * bool(_CARD_WORDS.search(before)) - 0.3 * bool(_ID_WORDS.search(before))
+            propose(m.start(), m.end(), "card", score)
+        for m in _ACCOUNT.finditer(t):
+            before = t[max(0, m.start() - 12) : m.start()]
+            propose(m.start(), m.end(), "account", 0.9 * mod97(m[0]) - 0.6 * bool(_NOT_PHONE.search(before)))
     found.sort()
     if at is None:
         return found
@@ -316,8 +334,8 @@ def _runner(parts: list[str], everyday: list[str]) -> Callable[[Iterator[pa.Reco
 def redact_personal_information(comments: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str = "name_part", everyday: list[str] | None = None) -> DataFrame:
     """(id, text_redacted, kinds, spans): every text with its personal information replaced by typed placeholders.
 
-    Placeholders are [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [NAME]; ``kinds`` lists the kinds found, ``spans``
-    counts the replacements. Null texts stay null and empty ones empty, with no kinds; null ids are kept; other
+    Placeholders are [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS], [NAME], [CARD] and [ACCOUNT]; ``kinds`` lists the kinds found,
+    ``spans`` counts the replacements. Null texts stay null and empty ones empty, with no kinds; null ids are kept; other
     columns are dropped. ``names`` is the table of known name parts, a dictionary that is sent to the executors
     after a check of its size (at most NAME_PARTS rows). No shuffle takes place.
     """

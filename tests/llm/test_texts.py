@@ -26,7 +26,7 @@ def kinds(text):
         ("kirim ke budi_01@mail.example.id ya", ["email"]), ("kirim ke budi (at) mail [dot] example", ["email"]), ("budi@ma​il.example", ["email"]), ("cek @budi.id ya", []),
         ("wa 0812-3456-7890", ["phone"]), ("+62 812 3456 7890", ["phone"]), ("O8l2345678O9", ["phone"]), ("(021) 822-5971", ["phone"]), ("nol delapan satu dua tiga empat lima enam tujuh delapan", ["phone"]),
         ("０８１２３４５６７８９０", ["phone"]), ("harganya Rp 7.940.422", []), ("versi 10.0.8.7 error 0x58907117", []), ("resi JX1599394854970490 belum", []), ("ditonton 8.843.431 orang", []),
-        ("nik 3501225604090010", ["id_number"]), ("3501 2256 0409 0010", ["id_number"]), ("3501 2299 9909 0010", []), ("kartu kredit 3501 2256 0409 0010", []), ("npwp 62.987.598.6-222.055", ["id_number"]),
+        ("nik 3501225604090010", ["id_number"]), ("3501 2256 0409 0010", ["id_number"]), ("3501 2299 9909 0010", []), ("kartu kredit 3501 2256 0409 0010", ["card"]), ("kartu kredit 3501 2256 0409 0011", []), ("npwp 62.987.598.6-222.055", ["id_number"]),
         ("paspor X 6608277", ["id_number"]), ("Jl. Melati Raya No. 12, Kota", ["address"]), ("jln nalungi 95 rt 07/rw 01", ["address"]), ("Komplek Indah blok F nomor 18", ["address"]),
         ("jalan tol macet parah sampai km 38", []), ("jalan-jalan terus 20 hari", []), ("Nama: Wiraka Damana", ["name"]), ("nama saya wirana kamato", ["name"]), ("titip buat Bu Sulana ya", ["name"]),
         ("Pak guru sama Bu dosen", []), ("melati di taman, fajar tiba", []), ("an. Damaka, Wirato", ["name"]), ("salam dari Wіraka Kamana", ["name"]), ("", []),
