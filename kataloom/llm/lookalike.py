@@ -36,7 +36,7 @@ PICTURES = "←-⇿⌀-➿⤀-⥿⬀-⯿\U0001f000-\U0001faff"
 
 @lru_cache(maxsize=1)
 def mapping() -> dict[str, str]:
-    """Single characters and what they become: look-alikes, forms of width and blanks."""
+    """Single characters and what they become: look-alikes, forms of width and blanks. Tabs and line breaks show and stay."""
     out = {a: b for left, right in LOOK_ALIKES.items() for a, b in zip(left, right, strict=True)}
     for code in [*range(0x80, 0x3100), *range(0xFF00, 0xFFF0)]:
         c = chr(code)
@@ -45,8 +45,6 @@ def mapping() -> dict[str, str]:
             out[c] = " "
         elif kind in ("<wide>", "<narrow>") and c not in UNSEEN:
             out[c] = chr(int(plain, 16))
-    for c in "\t\n\r\x0b\x0c\x85  ":
-        out[c] = " "
     return out
 
 
@@ -101,8 +99,8 @@ def canonical_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text): the texts in one form, so that texts that look the same are equal.
 
     Full and half width, the kind of blank, the encoding of accents, characters that don't show and letters of
-    other scripts that look like Latin ones are brought to one form. Letter case, visible accents, punctuation and
-    the number of blanks stay. A joiner between pictures stays, because it shows. Null texts stay null, empty texts
+    other scripts that look like Latin ones are brought to one form. Letter case, visible accents, punctuation, tabs,
+    line breaks and the number of blanks stay. A joiner between pictures stays, because it shows. Null texts stay null, empty texts
     empty; null ids are kept; other columns are dropped, whatever their names.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))

@@ -2,7 +2,34 @@
 
 from __future__ import annotations
 
-from kataloom.llm.lookalike import canonical_sql
+import unicodedata
+
+#: Latin letters, each with a letter that looks like it, by the other script.
+TWINS = {
+    "Cyrillic": "AА BВ CС EЕ HН IІ JЈ KК MМ OО PР QԚ SЅ TТ WԜ XХ YҮ YУ ËЁ ÏЇ aа cс dԁ eе hһ iі jј oо pр qԛ sѕ wԝ xх yу yү ëё ïї",
+    "Greek": "AΑ BΒ EΕ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ ZΖ jϳ oο vν ÁΆ ÉΈ HΉ ÍΊ ÓΌ ÝΎ óό",
+    "Armenian": "OՕ UՍ gց hհ nո oօ uս",
+    "Latin": "aɑ gɡ iı",
+}
+
+
+def _looks() -> str:
+    """The form in which texts that look the same are equal, step by step from the definition, as SQL over ``text_raw``."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    twins = [pair for row in TWINS.values() for pair in row.split()]
+    wide = [chr(c) for c in range(0xFF01, 0xFFEF) if unicodedata.decomposition(chr(c)).split(" ")[0] in ("<wide>", "<narrow>") and c != 0xFFA0]
+    plain = [chr(int(unicodedata.decomposition(c).split(" ")[1], 16)) for c in wide]
+    out, picture, held = "text_raw", r"[\p{So}\p{Sk}\x{1f000}-\x{1faff}]", ""
+    # A joiner between two pictures shows: it is kept under another sign. Pictures share their neighbours, so this is done twice.
+    for _ in range(2):
+        out = rf"regexp_replace({out}, '({picture}\x{{fe0f}}?)\x{{200d}}({picture})', '\1{held}\2', 'g')"
+    # Format characters, selectors, fillers and control characters, besides tab and line breaks, don't show.
+    unseen = r"\p{Cf}\x{34f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}\x{1}-\x{8}\x{e}-\x{1f}\x{7f}"
+    out = f"regexp_replace({out}, '[{unseen}]', '', 'g')"
+    out = rf"regexp_replace({out}, '\p{{Zs}}', ' ', 'g')"
+    for a, b in ((wide, plain), ([x[1] for x in twins], [x[0] for x in twins])):
+        out = f"translate({out}, {quote(''.join(a))}, {quote(''.join(b))})"
+    return f"nfc_normalize({out})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -31,7 +58,7 @@ def oracle_sql() -> dict[str, str]:
             m as (select key, min(id) as first_id from g group by key)
             select first_id, id as copy_id from g join m using (key) where id <> first_id""",
         "p4_found": f"""
-            with r as (select id, text_raw, {canonical_sql('text_raw')} as form from comments where text_raw is not null),
+            with r as (select id, text_raw, {_looks()} as form from comments where text_raw is not null),
             g as (select form, min(id) as first_id, arg_min(text_raw, id) as first_text from r group by form)
             select first_id, id as twin_id from r join g using (form) where text_raw <> first_text""",
         "p5_found": r"""
