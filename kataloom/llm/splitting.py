@@ -91,8 +91,8 @@ def _counter(tokenizer: str) -> Callable[[str], int]:
     return count
 
 
-def _atoms(u: Units, strengths: list[int], lo: int, hi: int, most: int) -> Iterator[tuple[int, int]]:
-    """Segments [i, j) of units lo..hi, none above ``most`` tokens unless it is one unit."""
+def _atoms(u: Units, strengths: list[int], lo: int, hi: int, most: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Segments [i, j) of units lo..hi, none above ``most`` tokens unless it is a word within ``limit`` or one unit."""
     level = SENTENCE
     cuts = [lo, *(i for i in range(lo + 1, hi) if strengths[i] >= level), hi]
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -101,7 +101,7 @@ def _atoms(u: Units, strengths: list[int], lo: int, hi: int, most: int) -> Itera
             continue
         words = [a, *(i for i in range(a + 1, b) if strengths[i] >= WORD), b]
         for c, d in zip(words[:-1], words[1:]):
-            if u.before[d] - u.before[c] <= most:
+            if u.before[d] - u.before[c] <= limit:
                 yield c, d
             else:
                 yield from ((i, i + 1) for i in range(c, d))
@@ -117,7 +117,7 @@ def split_text(text: str, limit: int, overlap: int, tokenizer: str) -> list[tupl
         return [(0, len(text), total, 0)]
     room = limit - overlap
     strengths = [PARAGRAPH, *(u.strength(i) for i in range(1, len(u)))]
-    segments = list(_atoms(u, strengths, 0, len(u), room))
+    segments = list(_atoms(u, strengths, 0, len(u), room, limit))
     left = list(range(-1, len(segments) - 1))
     right = [*range(1, len(segments)), -1]
     start, stop = [a for a, _ in segments], [b for _, b in segments]
@@ -149,37 +149,59 @@ def split_text(text: str, limit: int, overlap: int, tokenizer: str) -> list[tupl
                 offer(j)
                 if len(heap) > n:
                     heapq.heappush(heap, heap.pop())
+    count = _sizes(tokenizer)
     out = []
     for k in (k for k in range(len(segments)) if alive[k]):
         i, j = start[k], stop[k]
-        back = i
-        if i and overlap:
-            # The tokens before, up to the overlap; from a word's beginning if there is one in that reach.
-            back = bisect_left(u.before, u.before[i] - overlap, 0, i)
-            whole = next((x for x in range(back, i) if strengths[x] >= WORD), back)
-            back = whole
-        out.append((u.starts[back], u.starts[j] if j < len(u) else len(text), u.before[j] - u.before[back], u.before[i] - u.before[back]))
-    first = out[0]
-    out[0] = (0, *first[1:])
+        end = u.starts[j] if j < len(u) else len(text)
+        size = u.before[j] - u.before[i]
+        if size > limit:  # one unit; it is cut between its characters
+            out += _cut_unit(text, u.starts[i] if i else 0, end, limit, overlap, count)
+            continue
+        s, most = u.starts[i], min(overlap, limit - size)
+        if i and most:
+            # What stands before, up to the overlap that there is room for; from a word's beginning if there is one in that reach.
+            back = bisect_left(u.before, u.before[i] - most, 0, i)
+            back = next((x for x in range(back, i) if strengths[x] >= WORD), back)
+            if back < i:
+                s, over = u.starts[back], u.before[i] - u.before[back]
+            else:  # the unit before is larger than the overlap: its last characters
+                s = _tail(text, u.starts[i - 1], u.starts[i], most, count)
+                over = count(text[s : u.starts[i]])
+            out.append((s, end, size + over, over))
+        else:
+            out.append((s if i else 0, end, size, 0))
     return out
 
 
-def _cut_long(text: str, spans: list[tuple[int, int, int, int]], limit: int, tokenizer: str) -> Iterator[tuple[int, int, int, int]]:
-    """Pieces as they are, but one that is a single unit above the limit is cut between its characters."""
-    for s, e, n, o in spans:
-        if n <= limit:
-            yield s, e, n, o
-            continue
-        count = (lambda x: len(RUN.findall(x))) if tokenizer == RUNS else (lambda x: len(_encoding(tokenizer).encode_ordinary(x)))
-        at = s
-        while at < e:
-            # A token has at least one byte, so limit bytes always fit; grow while it fits.
-            step = max(1, limit // 4)
-            end = min(e, at + step)
-            while end < e and count(text[at : min(e, end + step)]) <= limit:
+def _sizes(tokenizer: str) -> Callable[[str], int]:
+    return (lambda x: len(RUN.findall(x))) if tokenizer == RUNS else (lambda x: len(_encoding(tokenizer).encode_ordinary(x)))
+
+
+def _tail(text: str, lo: int, hi: int, most: int, count: Callable[[str], int]) -> int:
+    """Where the longest ending of text[lo:hi] begins that has at most ``most`` tokens, growing in steps; hi if none has."""
+    at, step = hi, max(1, most // 2)
+    while step:
+        if at - step >= lo and count(text[at - step : hi]) <= most:
+            at -= step
+        else:
+            step //= 2
+    return at
+
+
+def _cut_unit(text: str, s: int, e: int, limit: int, overlap: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, int, int]]:
+    """Pieces of one unit above the limit, each but the first with up to ``overlap`` tokens of the one before."""
+    at = back = s
+    while at < e:
+        # A token has at least one byte, so limit / 4 characters fit; grow while it fits.
+        end, step = min(e, at + 1), max(1, limit // 4)
+        while step:
+            if end < e and count(text[back : min(e, end + step)]) <= limit:
                 end = min(e, end + step)
-            yield at, end, count(text[at:end]), 0
-            at = end
+            else:
+                step //= 2
+        yield back, end, count(text[back:end]), count(text[back:at]) if back < at else 0
+        at, back = end, _tail(text, s, end, min(overlap, limit - limit // 4 - 4), count) if overlap else end
 
 
 def split_oversized(docs: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, *, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -187,9 +209,10 @@ def split_oversized(docs: DataFrame, id_col: str, text_col: str, limit: int, ove
 
     A text of at most ``limit`` tokens is one piece. Of a larger one, the pieces cover it in order, each but the
     first begins with up to ``overlap`` tokens of what stands before it, beginning at a word; ``n_tokens`` counts
-    them in, ``start`` and ``stop`` are places in the text. Pieces count from 0. A token group that can't be cut
-    at a token boundary (one word above the limit) is cut between characters, without overlap. Null texts and
-    texts without tokens have no pieces; null ids stay; an empty table gives no rows. No shuffle takes place.
+    them in, ``start`` and ``stop`` are places in the text. Pieces count from 0. A word within the limit is never cut:
+    where it leaves no room for the whole overlap, the overlap is shorter (``overlap_tokens`` tells). A word above the limit
+    is cut between its tokens or characters. Null texts and texts without tokens have no pieces; null ids stay; an empty
+    table gives no rows. No shuffle takes place.
     """
     if not 0 <= overlap < limit:
         raise ValueError("0 <= overlap < limit")
@@ -203,7 +226,7 @@ def split_oversized(docs: DataFrame, id_col: str, text_col: str, limit: int, ove
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 if not text:
                     continue
-                spans = list(_cut_long(text, split_text(text, limit, overlap, tokenizer), limit, tokenizer))
+                spans = split_text(text, limit, overlap, tokenizer)
                 for p, (s, e, n, o) in enumerate(spans):
                     for column, value in zip(out, (i, p, len(spans), s, e, n, o, text[s:e])):
                         column.append(value)

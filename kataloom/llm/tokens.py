@@ -18,8 +18,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The size measure without a tokenizer: a run of word characters or of other characters that aren't white space.
 RUNS = "runs"
 RUN = re.compile(r"\w+|[^\w\s]+")
-#: Texts are encoded in slices of about this many characters, cut before a space where there is one.
+#: Texts are encoded in slices of about this many characters, to bound what is held at once.
 SLICE = 100_000
+#: Where a slice may end: the pattern always cuts before white space that follows something else, and neither side's
+#: matches look beyond that place, so slices have exactly the tokens of the whole.
+_END = re.compile(r"\S(?=\s)")
 
 
 @lru_cache(maxsize=4)
@@ -32,21 +35,26 @@ def _encoding(path: str):
 
 
 def slices(text: str) -> Iterator[str]:
+    """Slices with the same tokens as the whole text; where no white space follows, the rest is one slice."""
     at = 0
-    while len(text) - at > SLICE:
-        cut = text.rfind(" ", at + 1, at + SLICE)
-        cut = cut if cut > at else at + SLICE
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > SLICE and (end := _END.search(text, at + SLICE)):
+        yield text[at : end.end()]
+        at = end.end()
     yield text[at:]
 
 
 def sizer(tokenizer: str) -> Callable[[str], int]:
     """The size function of a tokenizer file, or of RUNS."""
     if tokenizer == RUNS:
-        return lambda text: len(RUN.findall(text))
+        return lambda text: sum(1 for _ in RUN.finditer(text))
     encode = _encoding(tokenizer).encode_ordinary
-    return lambda text: len(encode(text)) if len(text) <= SLICE else sum(len(encode(x)) for x in slices(text))
+    return lambda text: sum(len(encode(x)) for x in slices(text))
+
+
+def token_ids(tokenizer: str) -> Callable[[str], list[int]]:
+    """The token ids of a text by a tokenizer file."""
+    encode = _encoding(tokenizer).encode_ordinary
+    return lambda text: [i for x in slices(text) for i in encode(x)]
 
 
 def with_size(docs: DataFrame, id_col: str, text_col: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:

@@ -5,12 +5,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kataloom.llm import pii
+from kataloom.llm import pii, tokens
 from kataloom.llm.mixing import mix_sources, mixture_shares, poisson_below
 from kataloom.llm.packing import SumOfSquares, fill_containers, filling
 from kataloom.llm.pii import NameModel, find, redact, redact_personal_information
 from kataloom.llm.splitting import split_oversized, split_text
-from kataloom.llm.tokens import RUNS, TOKENIZER, sizer, slices
+from kataloom.llm.tokens import RUNS, TOKENIZER, sizer, slices, token_ids
 
 PARTS = ["Wiraka", "Wirana", "Wirato", "Damaka", "Damana", "Damato", "Kamaka", "Kamana", "Kamato", "Sulaka", "Sulana", "Sulato", "Melati", "Fajar"]
 MODEL = NameModel(PARTS)
@@ -198,3 +198,39 @@ def test_slices_keep_the_size():
     text = "kata ikan " * 30_000
     assert "".join(slices(text)) == text
     assert sizer(TOKENIZER)(text) == len(__import__("kataloom.llm.tokens", fromlist=["x"])._encoding(TOKENIZER).encode_ordinary(text))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["kata", "baris\n", "\n", "  ", "\t", " ", "'s", "x" * 40, "12", "\r\n", "\u3000", "…", "é", "\U0001f600", "\x85"]), max_size=60), st.integers(1, 20))
+def test_sizes_by_slices_are_those_of_the_whole(parts, most):
+    text, whole = "".join(parts), tokens._encoding(TOKENIZER).encode_ordinary
+    kept, tokens.SLICE = tokens.SLICE, most
+    try:
+        assert "".join(slices(text)) == text and sizer(TOKENIZER)(text) == len(whole(text)) and token_ids(TOKENIZER)(text) == whole(text)
+    finally:
+        tokens.SLICE = kept
+
+
+def test_sizes_of_lines_and_endless_words():
+    whole = tokens._encoding(TOKENIZER).encode_ordinary
+    for text in ("baris\n" * 30_000, "a b\n\n  c\t" * 20_000, "xyz" * 60_000):
+        assert sizer(TOKENIZER)(text) == len(whole(text))
+
+
+def test_overlap_never_cuts_a_word_that_fits():
+    size = sizer(TOKENIZER)
+    letters = "xqzjkvbwpfhgmtdlrnscyuoaie" * 3
+    word = next(letters[:k] for k in range(20, 70) if size(" " + letters[:k]) == 18)
+    text = "satu dua tiga empat lima enam " + word + " tujuh delapan sembilan sepuluh " + word + "."
+    for limit in (18, 19, 20, 22):
+        spans = split_text(text, limit, 4, TOKENIZER)
+        pieces = [text[s:e] for s, e, _, _ in spans]
+        assert sum(word in p for p in pieces) >= 2 and all(size(p) <= limit for p in pieces)
+        for (_, e, _, _), (s2, _, n2, o2), p in zip(spans, spans[1:], pieces[1:]):
+            assert s2 <= e and o2 == size(text[s2:e]) and o2 <= 4 and n2 == size(p)
+
+
+def test_endless_words_are_cut_with_overlap():
+    spans = split_text("halo " + "abcdefgh" * 4000 + " dunia", 64, 8, TOKENIZER)
+    assert spans[0][0] == 0 and all(a[1] >= b[0] > a[0] and b[1] > a[1] for a, b in zip(spans, spans[1:])) and all(n <= 64 for _, _, n, _ in spans)
+    assert sum(o > 0 for _, _, _, o in spans[1:]) >= len(spans) - 2 and all(o <= 8 for _, _, _, o in spans)
