@@ -116,18 +116,36 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     gets nothing and its share is spread over the others in proportion. Rows that repeat an id get as many copies
     as each other. Ascending ``position_key`` is the global random order; it depends on the seed and the ids only.
     """
-    sized, plan = mixture_plan(docs, id_col, text_col, source_col, targets, seed=seed, total=total, tokenizer=tokenizer)
-    used = sized.join(plan.select("key", "cut"), "key").select("id", "key", "n_tokens", copies(F.col("u"), F.col("cut")).alias("k")).where("k > 0")
+    return replicated(*mixture_plan(docs, id_col, text_col, source_col, targets, seed=seed, total=total, tokenizer=tokenizer), seed=seed)
+
+
+def replicated(sized: DataFrame, plan: DataFrame, *, seed: int = 0) -> DataFrame:
+    """The mixture of a plan, see ``mix_sources``."""
+    used = sized.join(F.broadcast(plan.select("key", "cut")), "key").select("id", "key", "n_tokens", copies(F.col("u"), F.col("cut")).alias("k")).where("k > 0")
     rows = used.select(F.col("id").alias("doc_id"), F.col("key").alias("source"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"), "n_tokens")
     rows = rows.select(F.xxhash64(F.lit(seed + 1).cast("bigint"), "doc_id", "copy").alias("position_key"), "doc_id", "source", "copy", "n_tokens")
     return rows.repartitionByRange("position_key").sortWithinPartitions("position_key")
 
 
-def mixture_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, documents, rows, tokens, share) of every target: what a mixture reached."""
+def with_texts(mixture: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The mixture with the column text, in its global order. Ids are expected to be unique: of documents that repeat one, one text is taken."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''").dropDuplicates(["doc_id"])
+    return mixture.join(texts, "doc_id").select(*mixture.columns, "text").repartitionByRange("position_key").sortWithinPartitions("position_key")
+
+
+def mixture_shares(mixture: DataFrame, targets: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """(source, target_share, goal_share, max_repeats, documents, rows, tokens, share) of every target: what a mixture reached.
+
+    ``goal_share`` is the target share after that of targets without documents was spread over the others; it is taken from
+    ``plan``, and without one, targets without a row count as having no documents.
+    """
     got = staged(mixture.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")), "shares")
     total = got.agg(F.sum("tokens")).first()[0] or 0
     want = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int"))
+    with_docs = got.select("source") if plan is None else plan.where("goal_tokens > 0").select(F.col("key").alias("source"))
+    rows = want.join(got, "source", "left").join(with_docs.distinct().withColumn("_goal", F.lit(1)), "source", "left")
+    goals = rows.where("_goal = 1").agg(F.sum("target_share")).first()[0] or 1.0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     share = F.coalesce(F.col("tokens") / F.nullif(F.lit(total), F.lit(0)), F.lit(0.0)).alias("share")
-    return want.join(got, "source", "left").select("source", "target_share", "max_repeats", zero("documents"), zero("rows"), zero("tokens"), share)
+    goal = F.when(F.col("_goal") == 1, F.col("target_share") / F.lit(goals)).otherwise(0.0).alias("goal_share")
+    return rows.select("source", "target_share", goal, "max_repeats", zero("documents"), zero("rows"), zero("tokens"), share)

@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from kataloom.llm.tokens import TOKENIZER, with_size
+from kataloom.llm.tokens import RUN, RUNS, TOKENIZER, token_ids, with_size
 from kataloom.session import staged
 
 #: Documents dealt to a shard, in the mean.
@@ -93,7 +94,7 @@ def fill_containers(docs: DataFrame, id_col: str, text_col: str, capacity: int,
     shards = max(1, round(sized.count() / shard))
     seed = F.xxhash64("id", "n_tokens")
     dealt = sized.select("id", "n_tokens", seed.alias("h")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
-    dealt = dealt.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "h", "id")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "h", "id")
     return dealt.select("shard", "id", "n_tokens").mapInArrow(_pack(capacity), PLACED)
 
 
@@ -103,3 +104,40 @@ def filling(placed: DataFrame, capacity: int) -> DataFrame:
     total = boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("tokens"))
     room = F.col("containers") * capacity
     return total.select("containers", "tokens", (room - F.col("tokens")).alias("room_left"), (F.col("tokens") / room).alias("used_share"))
+
+
+def container_contents(placed: DataFrame, docs: DataFrame, id_col: str, text_col: str, *, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(container, doc_ids, starts, n_tokens, contents): the containers put together.
+
+    ``contents`` are the container's token ids (of RUNS, its runs) in the order of their positions, ``starts`` where each of
+    ``doc_ids`` begins in it. ``placed`` comes from ``fill_containers`` with the same tokenizer. Rows that repeat an id are
+    told apart by their size; of rows with the same id and size any may stand for any, as they take the same room. A
+    container is bounded by its capacity, so what is gathered for one is, too. An empty table gives no rows.
+    """
+    item = "string" if tokenizer == RUNS else "int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = RUN.findall if tokenizer == RUNS else token_ids(tokenizer)
+        kind = pa.list_(pa.string() if tokenizer == RUNS else pa.int32())
+        for batch in batches:
+            tokens = [split(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t) for t in tokens], pa.int64()), pa.array(tokens, kind)], names=["id", "size", "tokens"])
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text <> ''")
+    texts = texts.mapInArrow(run, f"id bigint, size bigint, tokens array<{item}>").where("size > 0")
+    texts = texts.withColumn("nth", F.row_number().over(Wd.partitionBy("id", "size").orderBy(F.xxhash64("tokens"))))
+    sizes = placed.where("part + 1 = n_parts").groupBy("doc_id", "n_parts", (F.col("start_token") + F.col("n_tokens")).alias("size")).agg(F.count("*").alias("times"))
+    # A document's parts before the last are all alike but for their number; the last one tells its size.
+    rank = F.row_number().over(Wd.partitionBy("doc_id", "n_parts", "part").orderBy("container", "position"))
+    spread = sizes.withColumn("upto", F.sum("times").over(Wd.partitionBy("doc_id", "n_parts").orderBy("size").rowsBetween(Wd.unboundedPreceding, 0)))
+    ends = placed.where("part + 1 = n_parts").withColumn("size", F.col("start_token") + F.col("n_tokens"))
+    ends = ends.withColumn("nth", F.row_number().over(Wd.partitionBy("doc_id", "size").orderBy("container", "position")))
+    inner = placed.where("part + 1 < n_parts").withColumn("_k", rank)
+    spread = spread.select(F.col("doc_id").alias("_id"), F.col("n_parts").alias("_n"), "size", "times", "upto")
+    inner = inner.join(spread, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n_parts") == F.col("_n"))).where((F.col("_k") <= F.col("upto")) & (F.col("_k") > F.col("upto") - F.col("times"))).withColumn("nth", F.col("_k") - F.col("upto") + F.col("times"))
+    cols = ["container", "doc_id", "size", "nth", "start_token", "n_tokens", "position"]
+    parts = ends.select(*cols).unionByName(inner.select(*cols))
+    same = parts["doc_id"].eqNullSafe(texts["id"]) & (parts["size"] == texts["size"]) & (parts["nth"] == texts["nth"])
+    pieces = parts.join(texts, same).select("container", "doc_id", "position", "n_tokens", F.slice("tokens", F.col("start_token").cast("int") + 1, F.col("n_tokens").cast("int")).alias("piece"))
+    boxes = pieces.groupBy("container").agg(F.array_sort(F.collect_list(F.struct("position", "doc_id", "piece"))).alias("p"), F.sum("n_tokens").alias("n_tokens"))
+    return boxes.select("container", F.col("p.doc_id").alias("doc_ids"), F.col("p.position").alias("starts"), "n_tokens", F.flatten("p.piece").alias("contents"))

@@ -13,6 +13,10 @@ TWINS = {
 }
 
 
+#: A run of letters, digits and underscores, or of other characters that aren't white space.
+RUNS_OF = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x{85}\p{Z}\x1c-\x1f]+"
+
+
 def _looks() -> str:
     """The form in which texts that look the same are equal, step by step from the definition, as SQL over ``text_raw``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -80,6 +84,15 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"""
             with c as ({counted}), n as (select count(distinct comment_id) as n from c), d as (select token as term, count(*) as k from c group by token)
             select term, case when k <= 2 then 'rare' else 'common' end as mark from d, n where k <= 2 or 10 * k > n.n""",
+        "p7_documents": "select doc_id, true as once, true as split_only_if_larger from documents where length(text) > 0",
+        "p7_contents": rf"""
+            with r as (select regexp_extract_all(text, '{RUNS_OF}') as runs from documents where text is not null), s as (select len(runs) as n, length(array_to_string(runs, '')) as k from r where len(runs) > 0)
+            select sum(n)::bigint as runs, sum(k)::bigint as characters, sum(ceil(n / (select max_tokens from size_limits where limit_name = 'container')))::bigint as parts, false as wrong from s""",
+        "p8_kept": """
+            with d as (select distinct lower(trim(source)) as source from documents where length(text) > 0), t as (select lower(trim(source)) as source, target_share from mix_targets),
+            g as (select sum(target_share) as g from t join d using (source))
+            select t.source, round(case when d.source is null then 0 else target_share / g end, 6) as goal_share, true as reached, true as within_cap from t left join d using (source), g""",
+        "p9_covered": "select doc_id, length(text) as characters, true as within_limits from documents where length(text) > 0",
         "p9_found": r"""
             select doc_id from documents where len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x{85}\p{Z}\x1c-\x1f]+')) > (select max_tokens from size_limits where limit_name = 'piece')""",
     }

@@ -6,8 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kataloom.llm import pii, tokens
-from kataloom.llm.mixing import mix_sources, mixture_shares, poisson_below
-from kataloom.llm.packing import SumOfSquares, fill_containers, filling
+from kataloom.llm.mixing import mix_sources, mixture_shares, poisson_below, with_texts
+from kataloom.llm.packing import SumOfSquares, container_contents, fill_containers, filling
 from kataloom.llm.pii import NameModel, find, redact, redact_personal_information
 from kataloom.llm.splitting import split_oversized, split_text
 from kataloom.llm.tokens import RUNS, TOKENIZER, sizer, slices, token_ids
@@ -234,3 +234,34 @@ def test_endless_words_are_cut_with_overlap():
     spans = split_text("halo " + "abcdefgh" * 4000 + " dunia", 64, 8, TOKENIZER)
     assert spans[0][0] == 0 and all(a[1] >= b[0] > a[0] and b[1] > a[1] for a, b in zip(spans, spans[1:])) and all(n <= 64 for _, _, n, _ in spans)
     assert sum(o > 0 for _, _, _, o in spans[1:]) >= len(spans) - 2 and all(o <= 8 for _, _, _, o in spans)
+
+
+@pytest.mark.parametrize("tokenizer", [RUNS, TOKENIZER])
+def test_container_contents_round_trip(frame, tokenizer):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(["kata", "ikan!", "\U0001f600", "é"]) for _ in range(rng.choice((1, 5, 30, 130))))) for i in range(60)]
+    texts += [(3, "kata " * 130), (3, "ikan " * 130), (3, "kata " * 130), (None, "satu dua"), (None, "tiga empat lima " * 40), (70, None), (71, ""), (72, "  ")]
+    rows = frame([(i, t, "x", 1, "y") for i, t in texts], "doc_id bigint, text string, container string, size int, nth string")
+    placed = fill_containers(rows, "doc_id", "text", 50, tokenizer=tokenizer, shard=20)
+    boxes = container_contents(placed, rows, "doc_id", "text", tokenizer=tokenizer).collect()
+    assert {b["container"] for b in boxes} == {r["container"] for r in placed.collect()}
+    split = (lambda t: tokens.RUN.findall(t)) if tokenizer == RUNS else token_ids(tokenizer)
+    want, got = {}, {}
+    for i, t in texts:
+        want.setdefault(i, []).extend(split(t or ""))
+    for b in boxes:
+        assert len(b["contents"]) == b["n_tokens"] <= 50 and len(b["starts"]) == len(b["doc_ids"])
+        for s, e, i in zip(b["starts"], [*b["starts"][1:], b["n_tokens"]], b["doc_ids"]):
+            got.setdefault(i, []).extend(b["contents"][s:e])
+    assert {i: sorted(x) for i, x in want.items() if x} == {i: sorted(x) for i, x in got.items()}
+    assert container_contents(placed.limit(0), rows, "doc_id", "text", tokenizer=tokenizer).count() == 0
+
+
+def test_mixture_goals_and_texts(frame):
+    d = frame([(i, f"kata {i}", "a" if i % 3 else "b") for i in range(300)], "doc_id bigint, text string, source string")
+    targets = frame([("a", 0.5, 1), ("b", 0.3, 2), ("gone", 0.2, 2)], "source string, target_share double, max_repeats int")
+    mixed = mix_sources(d, "doc_id", "text", "source", targets, tokenizer=RUNS)
+    goals = {r["source"]: (r["goal_share"], r["share"]) for r in mixture_shares(mixed, targets).collect()}
+    assert goals["gone"] == (0.0, 0.0) and goals["a"] == pytest.approx((0.625, 0.625), abs=0.02) and goals["b"] == pytest.approx((0.375, 0.375), abs=0.02)
+    full = with_texts(mixed, d, "doc_id", "text")
+    assert full.count() == mixed.count() and full.where("text <> concat('kata ', doc_id)").count() == 0
