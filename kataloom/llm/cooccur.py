@@ -1,9 +1,11 @@
 """Items that appear together: a blocked Gram matrix over record/item incidences.
 
-The incidence matrix X (records x items, binary, sparse) is never built as a whole. Records are cut into blocks
-(Arrow batches), items into blocks of ``BLOCK``; for each record block the products X_I' X_J of its item blocks
-are added to the tile (I, J). Tiles are held up to a fixed memory bound and otherwise emitted as partial sums,
-which one grouped sum over the shuffle completes. The diagonal of the matrix gives the marginals.
+The incidence matrix X (records x items, binary, sparse) is never built as a whole. Records are cut into blocks of
+``RECORDS``, items into blocks of ``BLOCK``; for each record block the products X_I' X_J of its item blocks are added to the
+tile (I, J). A record block is multiplied as dense 0/1 matrices or as sparse ones, by the cost of either: sparse, the
+products of single records are listed by shifting the sorted block against itself, and counted. Tiles are held up to a
+fixed memory bound and otherwise emitted as partial sums, which one grouped sum over the shuffle completes. The diagonal of
+the matrix gives the marginals.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from kataloom.session import staged
 
 #: Items per item block, dense tiles held by a task, incidences of a record block.
 BLOCK, TILES, RECORD_BLOCK = 512, 32, 200_000
-#: A record with more items than this is multiplied row by row instead of by diagonals.
+#: Records of a dense block; nanoseconds a pair of a sparse product, a cell of a dense one, and a dense product besides.
+RECORDS, PAIR_NS, CELL_NS, PRODUCT_NS = 2048, 20.0, 1 / 15, 1_500_000.0
+#: Records with more items than this are always multiplied as dense matrices.
 LONG = 256
 #: Largest dictionary that is sent to the executors as a whole; beyond it items are numbered by a join.
 DICTIONARY = 200_000
@@ -57,6 +61,33 @@ class _Tiles:
             self.tiles.move_to_end(key)
             self.tiles[key] += np.bincount(code, minlength=BLOCK * BLOCK)
 
+    def multiply(self, rec: np.ndarray, item: np.ndarray, count: int) -> None:
+        """Add the products of the item blocks of ``count`` records (numbered from 0), without the diagonal."""
+        block, column = item // BLOCK, item % BLOCK
+        at = {int(b): np.flatnonzero(block == b) for b in np.unique(block)}
+
+        def dense(b: int) -> np.ndarray:
+            x = np.zeros((count, BLOCK), dtype=np.float32)  # counts of a record block are exact in 32 bits
+            x[rec[at[b]], column[at[b]]] = 1
+            return x
+
+        for i in at:
+            left = dense(i)
+            for j in (b for b in at if b >= i):
+                product = left.T @ (left if j == i else dense(j))
+                self._put((i, j), (np.triu(product, 1) if i == j else product).astype(np.int64).ravel())
+
+    def _put(self, key: tuple[int, int], tile: np.ndarray) -> None:
+        code = np.flatnonzero(tile)
+        if key not in self.tiles and len(code) < BLOCK:
+            if len(code):
+                self._emit(key, code, tile[code])
+            return
+        if key not in self.tiles and len(self.tiles) >= TILES:
+            self._drop(next(iter(self.tiles)))
+        self.tiles[key] = self.tiles[key] + tile if key in self.tiles else tile
+        self.tiles.move_to_end(key)
+
     def _emit(self, key: tuple[int, int], code: np.ndarray, n: np.ndarray) -> None:
         self.ready.append((code // BLOCK + key[0] * BLOCK, code % BLOCK + key[1] * BLOCK, n))
 
@@ -88,11 +119,16 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store.add(item, item)
         starts = np.flatnonzero(np.r_[True, rec[1:] != rec[:-1]])
         sizes = np.diff(np.r_[starts, len(rec)])
-        for s, n in zip(starts[sizes > LONG], sizes[sizes > LONG]):
-            for k in range(s, s + n - 1):
-                store.add(np.full(s + n - k - 1, item[k]), item[k + 1 : s + n])
-        short = np.repeat(sizes <= LONG, sizes)
-        rec, item = rec[short], item[short]
+        sparse = np.ones(len(rec), dtype=bool)
+        for first in range(0, len(starts), RECORDS):
+            n = sizes[first : first + RECORDS]
+            lo, hi = starts[first], starts[first] + n.sum()
+            blocks = len(np.unique(item[lo:hi] // BLOCK))
+            products = blocks * (blocks + 1) / 2
+            if (n > LONG).any() or (n * (n - 1) / 2).sum() * PAIR_NS > products * (len(n) * BLOCK * BLOCK * CELL_NS + PRODUCT_NS):
+                store.multiply(np.repeat(np.arange(len(n)), n), item[lo:hi], len(n))
+                sparse[lo:hi] = False
+        rec, item = rec[sparse], item[sparse]
         at, d, lefts, rights, held = np.arange(len(rec)), 1, [], [], 0
         while True:
             at = at[at + d < len(rec)]
@@ -129,9 +165,9 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _numbered(rows: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows as (rid, items array<bigint>) and the dictionary (item, token); items ascend with the token."""
     spark = rows.sparkSession
-    size = kept.count()
-    if size <= DICTIONARY:
-        words = sorted(r[0] for r in kept.select("token").collect())
+    found = [r[0] for r in kept.select("token").limit(DICTIONARY + 1).collect()]
+    if len(found) <= DICTIONARY:
+        words = sorted(found)
         shared = spark.sparkContext.broadcast(words)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +220,7 @@ def cooccurring_items(
     ).where("rid is not null and size(tokens) > 0")
     total = rows.select("rid").distinct().count()
     least = max(1, min_count, -(-total // share_of_records) if share_of_records else 1)
-    kept = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    kept = staged(rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least).select("token"), "kept")
     encoded, dictionary = _numbered(rows, kept)
     partial = encoded.repartition("rid").sortWithinPartitions("rid").mapInArrow(_gram, GRAM)
     gram = staged(partial.groupBy("i", "j").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "gram")

@@ -34,9 +34,10 @@ def brute_pairs(rows):
     return len(sets), one, two
 
 
-@pytest.mark.parametrize("dictionary", [cooccur.DICTIONARY, 0])
-def test_pairs_against_brute_force(frame, monkeypatch, dictionary):
-    monkeypatch.setattr(cooccur, "DICTIONARY", dictionary)
+@pytest.mark.parametrize("limits", [{}, {"DICTIONARY": 0}, {"PAIR_NS": 1e12, "RECORDS": 16}, {"PAIR_NS": 1e12, "TILES": 1, "BLOCK": 64}, {"PAIR_NS": 0.0, "LONG": 10**6}], ids=str)
+def test_pairs_against_brute_force(frame, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(cooccur, name, value)
     rng = random.Random(3)
     words = [f"w{k}" for k in range(700)]
     rows = [(rng.randrange(150), [rng.choice(words[: rng.choice((5, 40, 700))]) for _ in range(rng.randrange(12))]) for _ in range(250)]
