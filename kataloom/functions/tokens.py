@@ -54,11 +54,11 @@ def stemmed(tokens: Column, stem: Callable[[str], str] | None) -> Column:
 def tokenized(text: Column, cleaning: Mapping[str, Any], stem: Callable[[str], str] | None = None) -> Column:
     """The configured tokenizer on normalised text: tokens, slang, stemmer, filter."""
     out = raw_tokens(text)
-    if cleaning.get("use_slang", True):
-        out = apply_slang(out, slang_map(cleaning.get("slang_path")))
+    if cleaning.get("normalize_slang", True):
+        out = apply_slang(out, slang_map(cleaning.get("slang_file")))
     if cleaning.get("use_stemming", False):
         out = stemmed(out, stem)
-    stop = stopwords(cleaning.get("stopwords_path")) if cleaning.get("use_stopwords", True) else []
+    stop = stopwords(cleaning.get("stopword_file")) if cleaning.get("filter_stopwords", True) else []
     return filter_tokens(out, stop, cleaning.get("min_token_length", 2), cleaning.get("drop_numeric", True))
 
 

@@ -113,14 +113,14 @@ def analysis_rows(docs: DataFrame, config: Config | None = None, methods: Sequen
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}; of {METHODS}")
     a, top = config.section("analysis"), config.get("analysis.top_n")
-    sizes = a["ngram_sizes"]
+    sizes = a["ngram"]["sizes"]
     json = lambda *cols: F.to_json(F.struct(*cols))
     parts = []
     if "frequency" in methods:
         rows = term_frequency(docs).limit(top)
         parts.append(rows.select(F.lit("frequency").alias("method"), "term", F.col("count").cast("double").alias("value"), json("doc_freq", "relative").alias("metadata")))
     if "ngram" in methods:
-        rows = top_per_group(count_ngrams(docs, sizes, a["min_frequency"]), top, [F.desc("count"), F.col("term")], ["size"])
+        rows = top_per_group(count_ngrams(docs, sizes, a["ngram"]["min_frequency"]), top, [F.desc("count"), F.col("term")], ["size"])
         parts.append(rows.select(F.lit("ngram").alias("method"), "term", F.col("count").cast("double").alias("value"), json("size", "doc_freq").alias("metadata")))
     if "tfidf" in methods:
         rows = tfidf(docs, sizes, **a["tfidf"]).limit(top)

@@ -25,7 +25,7 @@ def prepared(comments: DataFrame, config: Config, stem: Callable[[str], str] | N
     rows = rows.withColumn("text_clean", T.normalized(F.col("raw"), cleaning))
     rows = rows.withColumn("raw_tokens", T.raw_tokens(F.col("text_clean"))).withColumn("tokens", tokenized(F.col("text_clean"), cleaning, stem))
     rows = rows.withColumn("reasons", spam_reasons(F.col("raw"), F.col("raw_tokens"), F.col("tokens"), config.section("spam")))
-    return rows.select("id", "source_id", "text_clean", "tokens", "reasons", T.text_hash(F.col("text_clean")).alias("norm_hash"), simhash(F.col("tokens"), dedup["bits"], dedup["shingle_size"]).alias("v"))
+    return rows.select("id", "source_id", "text_clean", "tokens", "reasons", T.text_hash(F.col("text_clean")).alias("norm_hash"), simhash(F.col("tokens"), dedup["simhash_bits"], dedup["shingle_size"]).alias("v"))
 
 
 def clean(
@@ -48,7 +48,7 @@ def clean(
     if prior is not None:
         known = prior.where("not is_duplicate").select(F.col("comment_id").alias("id"), F.lower("norm_hash").alias("norm_hash"), from_hex(F.col("simhash")).alias("v"))
     d = config.section("dedup")
-    marked = mark_duplicates(rows, known, bits=d["bits"], threshold=d["hamming_threshold"], bands=d["bands"], enabled=d["enabled"])
+    marked = mark_duplicates(rows, known, bits=d["simhash_bits"], threshold=d["hamming_threshold"], bands=d["bands"], enabled=d["enabled"], near=d["near_duplicate"])
     out = marked.withColumn("is_spam", F.size("reasons") > 0).withColumn("spam_reason", reason_text(F.col("reasons")))
     if prior is not None:
         # Counted and marked from here, instead of resolving the duplicates again for each.

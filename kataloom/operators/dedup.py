@@ -9,6 +9,7 @@ graph is therefore built over distinct fingerprints, which keeps masses of copie
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kataloom.operators.components import connected_components
 from kataloom.session import staged
 
-#: Fingerprints expected under one key of a block table.
-BUCKET = 64
+#: Fingerprints expected under one key of a block table; those above which a key is split further; links of a component that one task resolves.
+BUCKET, HOT_BUCKET, LOCAL = 64, 4096, 1_000_000
 
 
 def _shingles(tokens: list[str], size: int) -> list[str]:
@@ -69,12 +71,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def band_keys(value: Column, bits: int = 64, bands: int = 4) -> Column:
-    """array<bigint>: the slices of a fingerprint, low bits first."""
-    width = bits // bands
-    return F.array(*[F.shiftrightunsigned(value, b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)])
-
-
 def first_shared_band(a: Column, b: Column, bits: int, bands: int) -> Column:
     width = bits // bands
     out = F.lit(None).cast("int")
@@ -99,53 +95,108 @@ def _tables(n: int, bits: int, threshold: int) -> list[list[tuple[int, int]]]:
     raise AssertionError
 
 
+def _key(blocks: list[tuple[int, int]]) -> Column:
+    """The bits of the fingerprint v in the blocks, as one number."""
+    out = F.lit(0).cast("bigint")
+    for shift, width in blocks:
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(F.col("v"), shift).bitwiseAND(F.lit((1 << width) - 1)))
+    return out
+
+
+def _split(table: list[tuple[int, int]], bits: int, threshold: int) -> list[list[tuple[int, int]]]:
+    """Block tables over the bits that ``table`` leaves: fingerprints that agree on the table agree on two of threshold + 2 parts of the rest."""
+    taken = {b for shift, width in table for b in range(shift, shift + width)}
+    rest = [b for b in range(bits) if b not in taken]
+    m = threshold + 2
+    parts = [[(b, 1) for b in rest[round(i * len(rest) / m) : round((i + 1) * len(rest) / m)]] for i in range(m)]
+    return [a + b for a, b in combinations(parts, 2)]
+
+
 def near_pairs(values: DataFrame, bits: int = 64, threshold: int = 3) -> DataFrame:
     """(a, b, va, vb), a < b: all pairs of rows (id, v) with distinct fingerprints within the threshold.
 
-    An equi-join on block keys with the exact distance as a residual; every pair within the threshold meets.
+    An equi-join on block keys with the exact distance as a residual; every pair within the threshold meets. Keys that more
+    than HOT_BUCKET fingerprints share are split by blocks of the bits that they leave, in which near fingerprints meet again.
     """
     tables = _tables(values.count(), bits, threshold)
-
-    def key(blocks: list[tuple[int, int]]) -> Column:
-        out = F.lit(0).cast("bigint")
-        for shift, width in blocks:
-            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(F.col("v"), shift).bitwiseAND(F.lit((1 << width) - 1)))
-        return out
-
-    keyed = values.select("id", "v", F.posexplode(F.array(*[key(t) for t in tables])).alias("band", "key"))
-    left = keyed.select("band", "key", F.col("id").alias("a"), F.col("v").alias("va"))
-    right = keyed.select("band", "key", F.col("id").alias("b"), F.col("v").alias("vb"))
-    near = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("va"), F.col("vb")) <= threshold))
+    keyed = values.select("id", "v", F.posexplode(F.array(*[_key(t) for t in tables])).alias("band", "key"))
+    hot = staged(keyed.groupBy("band", "key").count().where(F.col("count") > HOT_BUCKET).select("band", "key"), "hot")
+    cell = ["band", "key", "part"]
+    if hot.isEmpty():
+        cells = keyed.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        finer = F.coalesce(*[F.when(F.col("band") == i, F.array(*[_key(x) for x in _split(t, bits, threshold)])) for i, t in enumerate(tables)])
+        split = keyed.join(hot, ["band", "key"]).select("id", "v", "band", "key", F.posexplode(finer).alias("sub", "low"))
+        split = split.select("id", "v", "band", "key", F.xxhash64("sub", "low").alias("part"))
+        cells = keyed.join(hot, ["band", "key"], "left_anti").withColumn("part", F.lit(0).cast("bigint")).unionByName(split)
+    left = cells.select(*cell, F.col("id").alias("a"), F.col("v").alias("va"))
+    right = cells.select(*cell, F.col("id").alias("b"), F.col("v").alias("vb"))
+    near = left.join(right, cell).where((F.col("a") < F.col("b")) & (hamming(F.col("va"), F.col("vb")) <= threshold))
     return near.select("a", "b", "va", "vb").distinct()
 
 
-def first_independent_set(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id, original) for the nodes of ``edges`` (a < b): the greedy choice in id order, by rounds over all nodes.
-
-    A node is out as soon as an earlier neighbour is in, and in as soon as all earlier neighbours are out. Each
-    round settles at least the first open node of every path of open nodes; states are written to the shared folder.
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greedy choice in a partition sorted by (root, b), where every node comes as b: it is out if an earlier neighbour a is in."""
+    root, node, out, kept = None, None, False, set()
+    for batch in batches:
+        ids, chosen = [], []
+        for r, a, b in zip(*(batch.column(c).to_pylist() for c in ("root", "a", "b"))):
+            if (r, b) != (root, node):
+                if node is not None:
+                    ids.append(node)
+                    chosen.append(not out)
+                    if not out:
+                        kept.add(node)
+                if r != root:
+                    kept = set()
+                root, node, out = r, b, False
+            out = out or a in kept
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(chosen, pa.bool_())], names=["id", "original"])
+    if node is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([not out], pa.bool_())], names=["id", "original"])
+
+
+def first_independent_set(edges: DataFrame) -> DataFrame:
+    """(id, original) for the nodes of ``edges`` (a < b): the greedy choice in id order.
+
+    Components of at most LOCAL links are resolved in one pass over their links in the order of nodes, by one task each, so
+    a long chain costs nothing more. Larger ones are resolved by rounds over all their nodes, as many as it takes.
     """
     edges = staged(edges.select("a", "b"), "near")
+    roots = connected_components(edges).select(F.col("node").alias("b"), "root")
+    rooted = edges.join(roots, "b")
+    sizes = staged(rooted.groupBy("root").count().where(F.col("count") > LOCAL).select("root"), "big")
+    # A node without an earlier neighbour is in: it comes as a row without a.
+    late = edges.select("b").distinct()
+    lone = edges.select(F.col("a").alias("b")).distinct().join(late, "b", "left_anti").join(roots, "b").select("root", F.lit(None).cast("bigint").alias("a"), "b")
+    rows = rooted.select("root", "a", "b").union(lone)
+    if sizes.isEmpty():
+        return rows.repartition("root").sortWithinPartitions("root", "b").mapInArrow(_in_order, "id bigint, original boolean")
+    few = rows.join(sizes, "root", "left_anti").repartition("root").sortWithinPartitions("root", "b").mapInArrow(_in_order, "id bigint, original boolean")
+    return few.union(_by_rounds(rooted.join(sizes, "root").select("a", "b")))
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """The greedy choice by rounds: a node is out as soon as an earlier neighbour is in, and in as soon as all of them are out."""
+    edges = staged(edges, "near")
     state = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     state = staged(state.join(edges.select(F.col("b").alias("id")).distinct().withColumn("late", F.lit(True)), "id", "left").select("id", F.when(F.col("late").isNull(), F.lit(True)).alias("original")), "state")
-    for _ in range(max_rounds):
-        if state.where("original is null").isEmpty():
-            return state
+    while not state.where("original is null").isEmpty():
         seen = edges.join(state.withColumnRenamed("id", "a"), "a").groupBy("b").agg(
             F.coalesce(F.bool_or(F.col("original")), F.lit(False)).alias("hit"), F.bool_and(F.coalesce(~F.col("original"), F.lit(False))).alias("free")
         )
         now = state.join(seen.withColumnRenamed("b", "id"), "id", "left")
-        state = staged(now.select("id", F.coalesce("original", F.when(F.col("hit"), F.lit(False)).when(F.col("free"), F.lit(True))).alias("original")), "state")
-    raise RuntimeError("near-duplicate resolution did not settle")
+        state = staged(now.select("id", F.coalesce("original", F.when(F.col("hit"), F.lit(False)).when(F.col("free"), F.lit(True))).alias("original")), "state", [state])
+    return state
 
 
-def mark_duplicates(rows: DataFrame, prior: DataFrame | None = None, *, bits: int = 64, threshold: int = 3, bands: int = 4, enabled: bool = True) -> DataFrame:
+def mark_duplicates(rows: DataFrame, prior: DataFrame | None = None, *, bits: int = 64, threshold: int = 3, bands: int = 4, enabled: bool = True, near: bool = True) -> DataFrame:
     """``rows`` (with id, norm_hash, fingerprint v, has_tokens) plus is_duplicate, duplicate_of and duplicate_kind.
 
     An exact duplicate points to the first row with its norm_hash, also if that one is a near duplicate itself. The
     first row of each hash, if it has tokens, is a near duplicate if an earlier original is within ``threshold``
     bits; it points to the original with the lowest first shared band, then the smallest id. ``prior`` holds the
-    originals (id, norm_hash, v) of earlier runs: they come before all rows and stay originals.
+    originals (id, norm_hash, v) of earlier runs: they come before all rows and stay originals. Without ``near`` there are only exact ones.
     """
     if threshold >= bands:
         bands = threshold + 1
@@ -158,6 +209,9 @@ def mark_duplicates(rows: DataFrame, prior: DataFrame | None = None, *, bits: in
     heads = base.where("norm_hash is not null").groupBy("norm_hash").agg(F.min(F.struct("era", "id")).alias("h")).select("norm_hash", F.col("h.id").alias("head"), F.col("h.era").alias("head_era"))
     exact = base.join(heads, "norm_hash", "left").withColumn("exact_of", F.when((F.col("head") != F.col("id")) | (F.col("head_era") != F.col("era")), F.col("head")))
     exact = staged(exact.select("id", "era", "v", "has_tokens", "exact_of"), "exact")
+    if not near:
+        done = exact.where("era = 1").select("id", F.col("exact_of").alias("duplicate_of"), F.when(F.col("exact_of").isNotNull(), "exact").alias("duplicate_kind"))
+        return rows.join(done, "id").withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
     # Order over eras: earlier runs first. One number keeps the join keys narrow.
     order = F.col("id") + F.when(F.col("era") == 1, F.lit(1 << 62)).otherwise(F.lit(0))
     probes = exact.where("exact_of is null and has_tokens and v <> 0").select(order.alias("id"), "v")

@@ -18,12 +18,15 @@ METHOD_OF = {"frequency": "FREQUENCY", "tfidf": "TFIDF", "cooccurrence": "COOCCU
 
 
 def seed_forms(keywords: DataFrame, config: Config | None = None, unicode: bool = True) -> DataFrame:
-    """(form, term, keyword_id): the token form of each active keyword; the first keyword of a form gives its term."""
+    """(form, term, keyword_id, place): the token form of each active keyword; the first keyword of a form gives its term.
+
+    Keywords are ordered by iteration, type and term; ``place`` is that of the first.
+    """
     cleaning = (config or Config()).section("cleaning")
-    active = keywords.where("status = 'ACTIVE' and term is not null").select("id", "term")
+    active = keywords.where("status = 'ACTIVE' and term is not null").select("id", "term", F.struct("iteration", "type", "term").alias("place"))
     forms = active.withColumn("_t", T.normalized(F.col("term"), cleaning, unicode))
-    forms = forms.select("id", "term", F.array_join(tokenized(F.col("_t"), cleaning), " ").alias("form")).where("form <> ''")
-    return forms.groupBy("form").agg(F.min_by("term", "id").alias("term"), F.min("id").alias("keyword_id"))
+    forms = forms.select("id", "term", "place", F.array_join(tokenized(F.col("_t"), cleaning), " ").alias("form")).where("form <> ''")
+    return forms.groupBy("form").agg(F.min_by("term", "place").alias("term"), F.min_by("id", "place").alias("keyword_id"), F.min("place").alias("place"))
 
 
 def blocked_terms(keywords: DataFrame, candidates: DataFrame | None, forms: DataFrame, respect_rejections: bool = True) -> DataFrame:
@@ -60,14 +63,14 @@ def score_candidates(docs: DataFrame, forms: DataFrame, blocked: DataFrame, conf
     Signals are scaled between the pool's minimum and maximum; a signal that is the same everywhere counts 0.
     """
     config = config or Config()
-    sizes, d, c = config.get("analysis.ngram_sizes"), config.section("discovery"), config.get("analysis.cooccurrence")
-    pool = staged(candidate_pool(docs, blocked, sizes, min_doc_freq=d["min_doc_freq"], min_length=d["min_length"]), "pool")
+    sizes, d, c = config.get("analysis.ngram.sizes"), config.section("discovery"), config.get("analysis.cooccurrence")
+    pool = staged(candidate_pool(docs, blocked, sizes, min_doc_freq=d["min_doc_frequency"], min_length=d["min_term_length"]), "pool")
     scores = tfidf(docs, sizes, **config.get("analysis.tfidf")).select("term", F.col("score").alias("raw_tfidf"))
     near = seed_association(docs, forms, **c)
     words = pool.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("token")).join(near, "token")
     best = words.groupBy("term").agg(F.max(F.struct("value", "seed_token")).alias("b")).select("term", F.col("b.value").alias("raw_cooccurrence"), F.col("b.seed_token").alias("seed_token"))
-    labels = forms.select(F.explode(F.array_distinct(F.split("form", " "))).alias("seed_token"), "term", "keyword_id")
-    labels = labels.groupBy("seed_token").agg(F.min_by("term", "keyword_id").alias("seed"))
+    labels = forms.select(F.explode(F.array_distinct(F.split("form", " "))).alias("seed_token"), "term", "place")
+    labels = labels.groupBy("seed_token").agg(F.min_by("term", "place").alias("seed"))
     rows = pool.join(scores, "term", "left").join(best, "term", "left").join(labels, "seed_token", "left")
     rows = rows.select(
         "term", "size", F.when(F.col("size") > 1, "PHRASE").otherwise("KEYWORD").alias("type"), "count", "doc_freq",

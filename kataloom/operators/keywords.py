@@ -79,6 +79,11 @@ def listed(keywords: DataFrame, *, status: str | None = None, kind: str | None =
     return keywords.orderBy("iteration", "type", "term")
 
 
+def counts(keywords: DataFrame) -> DataFrame:
+    """(status, type, n)."""
+    return keywords.groupBy("status", "type").agg(F.count("*").alias("n"))
+
+
 def buckets(keywords: DataFrame) -> dict[str, list[str]]:
     """The active keywords as the three lists of the exchange file (a small control table, collected)."""
     out: dict[str, list[str]] = {"keywords": [], "phrases": [], "hashtags": []}

@@ -27,7 +27,7 @@ def spam_reasons(raw: Column, raw_tokens: Column, tokens: Column, spam: Mapping[
     def rule(code: str, hit: Column, actual: Column, threshold: float) -> Column:
         return F.when(hit, F.struct(F.lit(code).alias("code"), actual.cast("double").alias("actual"), F.lit(float(threshold)).alias("threshold")))
 
-    rules = [rule("phone_number", T.has_phone(raw), F.lit(1), 0)] if spam.get("detect_phone", True) else []
+    rules = [rule("phone_number", T.has_phone(raw), F.lit(1), 0)] if spam.get("detect_phone_numbers", True) else []
     for code, n, most in (
         ("too_many_urls", T.count_urls(raw), spam["max_urls"]),
         ("too_many_mentions", T.count_mentions(raw), spam["max_mentions"]),
@@ -35,7 +35,7 @@ def spam_reasons(raw: Column, raw_tokens: Column, tokens: Column, spam: Mapping[
         ("char_run", T.longest_run(raw), spam["max_char_run"]),
     ):
         rules.append(rule(code, n > most, n, most))
-    rules.append(rule("too_few_tokens", F.size(tokens) < spam["min_tokens"], F.size(tokens), spam["min_tokens"]))
+    rules.append(rule("too_few_tokens", F.size(tokens) < spam["min_tokens_after_clean"], F.size(tokens), spam["min_tokens_after_clean"]))
     rules.append(rule("low_diversity", diversity(raw_tokens) < spam["min_token_diversity"], diversity(raw_tokens), spam["min_token_diversity"]))
     return F.array_compact(F.array(*rules)).cast(f"array<{REASON}>")
 
@@ -76,9 +76,9 @@ def mark_copypasta(cleaned: DataFrame, spam: Mapping[str, Any], stored: DataFram
     """``cleaned`` (with source_id) with every member of a copypasta group marked as spam, also the first one.
 
     ``stored`` holds rows (norm_hash, text_clean, source_id) that count as well but are not returned. Hashes are compared without case.
-    Rows that are spam already keep their reason. Nothing is done if spam rules are off or copypasta_min is below 2.
+    Rows that are spam already keep their reason. Nothing is done if spam rules are off or copypasta_min_authors is below 2.
     """
-    least = spam.get("copypasta_min", 5)
+    least = spam.get("copypasta_min_authors", 5)
     if not spam.get("enabled", True) or least < 2:
         return cleaned
     counted = cleaned.select(F.lower("norm_hash").alias("norm_hash"), "text_clean", "source_id")

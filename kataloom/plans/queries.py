@@ -166,8 +166,8 @@ def spam_by_rule(t: Tables) -> DataFrame:
 def exact_duplicates(t: Tables) -> DataFrame:
     """First and later comments of each text, by the hash of the blank-collapsed lower-case text."""
     rows = t.comments.where("text_raw is not null").select("id", T.text_hash(T.collapse_space(F.lower("text_raw"))).alias("norm_hash"))
-    first = rows.groupBy("norm_hash").agg(F.min("id").alias("duplicate_of"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "norm_hash").where("id <> duplicate_of").select("id", "duplicate_of")
+    marked = dedup.mark_duplicates(rows.withColumn("v", F.lit(0).cast("bigint")).withColumn("has_tokens", F.lit(False)), near=False)
+    return marked.where("is_duplicate").select("id", "duplicate_of")
 
 
 @query
@@ -212,6 +212,34 @@ def near_duplicates(t: Tables) -> DataFrame:
     return marked.where("is_duplicate").select("id", "duplicate_of", "duplicate_kind")
 
 
+@query
+def stored_duplicates(t: Tables) -> DataFrame:
+    """As ``near_duplicates``, by the stored fingerprints alone: rows without one can only be exact duplicates."""
+    v = dedup.from_hex(F.col("simhash"))
+    rows = t.cleaned_comments.select("id", F.coalesce(F.lower("norm_hash"), T.text_hash(F.col("text_clean"))).alias("norm_hash"), v.alias("v"), F.coalesce(v != 0, F.lit(False)).alias("has_tokens"))
+    return dedup.mark_duplicates(rows).where("is_duplicate").select("id", "duplicate_of", "duplicate_kind")
+
+
+#: The pipeline with exact duplicates only.
+EXACT = Config({"dedup": {"near_duplicate": False}})
+
+
+@query
+def clean_exact(t: Tables) -> DataFrame:
+    return cleaning.clean(t.comments, EXACT).select("comment_id", "text_clean", F.array_join("tokens", " ").alias("tokens"), "is_duplicate", "duplicate_of", "is_spam", "spam_reason", "norm_hash")
+
+
+@query
+def cleaning_stats_exact(t: Tables) -> DataFrame:
+    return cleaning.cleaning_stats(cleaning.clean(t.comments, EXACT))
+
+
+@query
+def incremental_exact(t: Tables) -> DataFrame:
+    """What a second run with exact duplicates only adds to the stored cleaned rows."""
+    return cleaning.clean(t.comments, EXACT, t.cleaned_comments).select("comment_id", "text_clean", "is_duplicate", "duplicate_of", "is_spam", "spam_reason")
+
+
 @query
 def clean_pipeline(t: Tables) -> DataFrame:
     return cleaning.clean(t.comments).drop("tokens", "language", "reasons")
@@ -315,7 +343,7 @@ def _seeds(t: Tables) -> DataFrame:
 
 @query
 def seed_forms(t: Tables) -> DataFrame:
-    return _seeds(t)
+    return _seeds(t).drop("place")
 
 
 @query
@@ -426,7 +454,7 @@ def keyword_list(t: Tables) -> DataFrame:
 
 @query
 def keyword_counts(t: Tables) -> DataFrame:
-    return t.keywords.groupBy("status", "type").agg(F.count("*").alias("n"))
+    return keywords.counts(t.keywords)
 
 
 # ------------------------------------------------------------------------------------------------ browsing

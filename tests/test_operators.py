@@ -9,7 +9,7 @@ from kataloom.config import Config
 from kataloom.operators import analysis, browse, cleaning, dedup, discovery, keywords, lexicon, matching, review, spam
 from kataloom.operators.components import connected_components
 
-CFG = Config({"cleaning": {"use_slang": False}})
+CFG = Config({"cleaning": {"normalize_slang": False}})
 COMMENTS = "id bigint, source string, source_id string, text_raw string, url string"
 
 
@@ -143,6 +143,27 @@ def test_near_duplicates_against_the_loop(spark, seed):
     assert {r["id"]: r["duplicate_of"] for r in got.where("is_duplicate").collect()} == want
 
 
+def test_near_pairs_with_hot_keys(spark, monkeypatch):
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    values = {base & ~0xFFFFFFFF | rng.getrandbits(32) for _ in range(150)} | {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)}
+    rows = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(sorted(values))]
+    want = {(i, j) for i, v in enumerate(sorted(values)) for j, w in enumerate(sorted(values)) if i < j and bin(v ^ w).count("1") <= 3}
+    for limit in (4096, 3):
+        monkeypatch.setattr(dedup, "HOT_BUCKET", limit)
+        got = dedup.near_pairs(spark.createDataFrame(rows, "id bigint, v bigint"))
+        assert {(r["a"], r["b"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("local", [dedup.LOCAL, 8])
+def test_long_chains_are_resolved(spark, monkeypatch, local):
+    monkeypatch.setattr(dedup, "LOCAL", local)
+    n = 1000 if local > 8 else 12
+    edges = [(i, i + 1) for i in range(n)] + [(5000, 5002), (5001, 5002), (5002, 5003)]
+    got = {r["id"]: r["original"] for r in dedup.first_independent_set(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: i % 2 == 0 for i in range(n + 1)} | {5000: True, 5001: True, 5002: False, 5003: True}
+
+
 def test_block_tables_are_complete():
     for n in (10, 10**7, 10**10):
         for _ in range(300):
