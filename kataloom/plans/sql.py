@@ -79,8 +79,8 @@ def oracle_sql() -> dict[str, str]:
         matches as (select distinct comment_id, keyword_id from found join forms using (form) where form <> '')"""
     seeds = f"""
         slang as (select {slang} as m),
-        seeds as (select form, arg_min(term, id) as term, min(id) as keyword_id from (
-            select id, term, array_to_string({kept(slanged(tokens(_normalized('term'))))}, ' ') as form from keywords, slang where status = 'ACTIVE' and term is not null) where form <> '' group by form)"""
+        seeds as (select form, arg_min(term, (iteration, type, term)) as term, arg_min(id, (iteration, type, term)) as keyword_id from (
+            select id, iteration, type, term, array_to_string({kept(slanged(tokens(_normalized('term'))))}, ' ') as form from keywords, slang where status = 'ACTIVE' and term is not null) where form <> '' group by form)"""
     pool = f"""
         cand as ({CANDIDATES}), blocked as (select form as term from seeds union select term from keywords union select term from cand),
         pgrams as ({_grams([1, 2, 3])}), per as (select term, any_value(size) as size, comment_id, count(*) as tf from pgrams group by term, comment_id),
@@ -104,6 +104,46 @@ def oracle_sql() -> dict[str, str]:
         len(regexp_extract_all(text_raw, '#[\p{{L}}\p{{N}}_]+')) as hashtags, regexp_matches(text_raw, '{phone}') as has_phone"""
     runs = """runs as (select id, max(n) as longest_run from (select id, count(*) as n from (select id, i, ch, i - row_number() over (partition by id, ch order by i) as g from
         (select id, unnest(string_split(text_raw, '')) as ch, generate_subscripts(string_split(text_raw, ''), 1) as i from comments where text_raw <> '')) group by id, ch, g) group by id)"""
+    stored = """
+        f as (select id, coalesce(lower(norm_hash), sha1(text_clean)) as h, case when simhash <> '0000000000000000' then ('0x' || simhash)::ubigint end as v from cleaned_comments),
+        heads as (select h, min(id) as head from f where h is not null group by h), e as (select f.*, case when head <> id then head end as exact_of from f left join heads using (h)),
+        probes as (select id, v from e where exact_of is null and v is not null), firsts as (select v, min(id) as id from probes group by v),
+        k as (select id, v, b, (v >> (16 * b)::ubigint) & 65535::ubigint as key from firsts, (select unnest(range(4)) as b)),
+        near as (select distinct a.id as a, a.v as va, b.id as b, b.v as vb from k a join k b on a.b = b.b and a.key = b.key and a.id < b.id where bit_count(xor(a.v, b.v)) <= 3),
+        arcs as (select a, b from near union all select b, a from near), reach(node, root) as (select a, a from arcs union select b, root from reach join arcs on a = node where root < b),
+        nodes as (select node, root, va as v, row_number() over (partition by root order by node) as place from (select node, min(root) as root from reach group by node) join (select a as n, va from near union select b, vb from near) on n = node),
+        walk(root, place, kept) as (select root, 1::bigint, [v] from nodes where place = 1 union all
+            select walk.root, walk.place + 1, case when len(list_filter(kept, lambda x: bit_count(xor(x, v)) <= 3)) > 0 then kept else list_append(kept, v) end from walk join nodes on nodes.root = walk.root and nodes.place = walk.place + 1),
+        kept as (select unnest(kept) as v from (select root, arg_max(kept, place) as kept from walk group by root)),
+        originals as (select firsts.* from firsts where v in (select v from kept) or id not in (select node from nodes)),
+        links as (select id as other, v as ov, v from originals union all select o.id, o.v, near.vb from originals o join near on near.a = o.id union all select o.id, o.v, near.va from originals o join near on near.b = o.id),
+        hits as (select probes.id, other, list_min(list_filter(range(4), lambda b: ((probes.v >> (16 * b)::ubigint) & 65535::ubigint) = ((ov >> (16 * b)::ubigint) & 65535::ubigint))) as band from probes join links using (v) where other < probes.id),
+        best as (select id, arg_min(other, (band, other)) as near_of from hits group by id)"""
+    # The cleaning pipeline with exact duplicates only, rule by rule.
+    words = f"(select id, source_id, raw, text_clean, {tokens('text_clean')} as words from (select id, source_id, coalesce(text_raw, '') as raw, {_normalized("coalesce(text_raw, '')")} as text_clean from comments))"
+    said = f"""
+        slang as (select {slang} as m), w as (select id, source_id, raw, text_clean, words, {kept(slanged('words'))} as tokens from {words}, slang),
+        longest as (select id, max(n) as run from (select id, count(*) as n from (select id, i, ch, i - row_number() over (partition by id, ch order by i) as g from
+            (select id, unnest(string_split(raw, '')) as ch, generate_subscripts(string_split(raw, ''), 1) as i from w where raw <> '')) group by id, ch, g) group by id),
+        n as (select w.*, coalesce(run, 0) as run, len(list_distinct(words)) / len(words)::double as diversity, {counts.replace('text_raw', 'raw')} from w left join longest using (id)),
+        said as (select id, source_id, text_clean, tokens, sha1(text_clean) as norm_hash, array_to_string(list_filter([case when has_phone then 'phone_number' end, case when urls > 2 then 'too_many_urls (' || urls || ' > 2)' end,
+            case when mentions > 5 then 'too_many_mentions (' || mentions || ' > 5)' end, case when hashtags > 5 then 'too_many_hashtags (' || hashtags || ' > 5)' end, case when run > 10 then 'char_run (' || run || ' > 10)' end,
+            case when coalesce(len(tokens), 0) < 2 then 'too_few_tokens (' || coalesce(len(tokens), 0) || ' < 2)' end, case when diversity < 0.35 then printf('low_diversity (%.2f < 0.35)', diversity) end], lambda x: x is not null), '; ') as said from n)"""
+    pasta = """g as (select norm_hash, count(distinct source_id) as copies from said where text_clean <> '' group by norm_hash having count(distinct source_id) >= 5), h as (select norm_hash, min(id) as head from said group by norm_hash),
+        cleaned as (select id as comment_id, text_clean, coalesce(array_to_string(tokens, ' '), '') as tokens, id <> head as is_duplicate, case when id <> head then head end as duplicate_of,
+            said <> '' or copies is not null as is_spam, case when said <> '' then said when copies is not null then 'copypasta (' || copies || ' >= 5)' end as spam_reason, norm_hash from said left join g using (norm_hash) join h using (norm_hash))"""
+    again = """news as (select * from said where id not in (select comment_id from cleaned_comments)),
+        originals as (select comment_id, lower(norm_hash) as norm_hash from cleaned_comments where not is_duplicate and norm_hash is not null), old as (select norm_hash, min(comment_id) as head from originals group by norm_hash),
+        firsts as (select norm_hash, min(id) as first from news group by norm_hash),
+        counted as (select norm_hash, source_id from news where text_clean <> '' union all select lower(c.norm_hash), source_id from cleaned_comments c left join comments on comments.id = comment_id where text_clean <> ''),
+        g as (select norm_hash, count(distinct source_id) as copies from counted where norm_hash is not null and source_id is not null group by norm_hash having count(distinct source_id) >= 5)
+        select id as comment_id, text_clean, coalesce(head, case when first <> id then first end) is not null as is_duplicate, coalesce(head, case when first <> id then first end) as duplicate_of,
+            said <> '' or (copies is not null and text_clean <> '') as is_spam, case when said <> '' then said when copies is not null and text_clean <> '' then 'copypasta (' || copies || ' >= 5)' end as spam_reason
+        from news left join old using (norm_hash) join firsts using (norm_hash) left join g using (norm_hash)"""
+    scored = f"""docs as ({DOCS}), {_PAIRS}, {seeds}, {pool}, {near}, {_tfidf(True, True, [1, 2, 3])},
+            best as (select term, max((value, seed_token)) as b from (select term, unnest(string_split(term, ' ')) as token from pool) join assoc using (token) group by term),
+            labels as (select seed_token, arg_min(term, (iteration, type, term)) as seed from (select unnest(string_split(form, ' ')) as seed_token, seeds.term, iteration, type from seeds join keywords on keywords.id = keyword_id) group by seed_token),
+            s as (select pool.term, "count", pool.doc_freq, size, coalesce(score, 0) as t, coalesce(b[1], 0) as a, b[2] as seed_token, "count"::double as f from pool left join scores using (term) left join best using (term))"""
     state = "case when is_spam is null then 'raw' when is_spam then 'spam' when is_duplicate then 'dup' else 'ok' end"
     last = "last as (select comment_id, arg_max(is_duplicate, id) as is_duplicate, arg_max(is_spam, id) as is_spam from cleaned_comments group by comment_id)"
     video = "nullif(regexp_extract(url, '[?&]v=([^&#]+)', 1), '')"
@@ -136,6 +176,22 @@ def oracle_sql() -> dict[str, str]:
             select a.id as a, b.id as b, any_value(bit_count(xor(a.v, b.v)))::bigint as bits, min(a.b) as band from k a join k b on a.b = b.b and a.key = b.key and a.id < b.id where bit_count(xor(a.v, b.v)) <= 3 group by all""",
         "near_pair_members": """with v as (select id, ('0x' || simhash)::ubigint as v from cleaned_comments where simhash is not null and simhash <> '0000000000000000')
             select id, representative, 0::bigint as bits from v join (select v, min(id) as representative from v group by v) using (v)""",
+        "stored_duplicates": f"with recursive {stored} select id, coalesce(exact_of, near_of) as duplicate_of, case when exact_of is not null then 'exact' else 'near' end as duplicate_kind from e left join best using (id) where coalesce(exact_of, near_of) is not null",
+        "clean_exact": f"with {said}, {pasta} select * from cleaned",
+        "cleaning_stats_exact": f"""with {said}, {pasta} select count(*) as processed, count(*) filter (is_duplicate) as duplicates, count(*) filter (is_spam and not coalesce(spam_reason like 'copypasta%', false)) as spam,
+            count(*) filter (coalesce(spam_reason like 'copypasta%', false)) as copypasta, count(*) filter (not is_duplicate and not is_spam) as usable from cleaned""",
+        "incremental_exact": f"with {said}, {again}",
+        "analysis_results": f"""with docs as ({DOCS}), {_PAIRS}, one as (select distinct unnest(tokens) as term from docs), g as ({_grams([1, 2, 3])}), often as (select term, any_value(size) as size from g group by term having count(*) >= 3)
+            select 'frequency' as method, least(100, count(*)) as n from one union all select 'ngram', sum(n)::bigint from (select least(100, count(*)) as n from often group by size)
+            union all select 'tfidf', least(100, count(distinct term)) from g union all select 'cooccurrence', least(100, count(*)) from pairs""",
+        "discover": f"""with {scored},
+            parts as (select *, {weights['frequency']} * ({span('f')}) as wf, {weights['tfidf']} * ({span('t')}) as wt, {weights['cooccurrence']} * ({span('a')}) as wa, case when size > 1 then {weights['ngram']} else 0 end as wn from s),
+            summed as (select parts.*, wf + wt + wa + wn as score, greatest(wf, wt, wa, wn) as most, seed, case when size > 1 then 'PHRASE' else 'KEYWORD' end as type, term as n from parts left join labels using (seed_token)),
+            checked as (select *, {reason} as reason from summed)
+            select term, type, case most when wf then 'FREQUENCY' when wt then 'TFIDF' when wa then 'COOCCURRENCE' else 'NGRAM' end as source_method, doc_freq as frequency, round(score, 4) as score,
+                'docs=' || doc_freq || '; count=' || "count" || printf('; tfidf=%.2f', t) || case when seed is not null then printf('; near seed ''%s'' (pmi %.2f)', seed, a) else '' end as discovered_from,
+                0 as iteration, 'PENDING' as status, null::varchar as reviewed_at, '2026-01-01T00:00:00Z' as created_at
+            from checked where score > 0 and reason is null order by checked.score desc, "count" desc, term limit 50""",
         "corpus_totals": f"with docs as ({DOCS}) select count(*) as documents, sum(len(tokens))::bigint as tokens from docs",
         "usable_corpus": f"with docs as ({DOCS}) select comment_id, len(tokens) as n_tokens from docs",
         "term_frequency": f"with docs as ({DOCS}), t as (select comment_id, unnest(tokens) as term from docs) select term, count(*) as \"count\", count(distinct comment_id) as doc_freq, round(count(*) / (select count(*) from t)::double, 6) as relative from t group by term",
