@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import shlex
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import functions as F
 
@@ -14,13 +13,15 @@ from kataloom.config import Config
 from kataloom.operators import analysis, browse, cleaning, discovery, keywords, lexicon, matching, review, spam
 from kataloom.operators.store import Store
 from kataloom.session import local_session
+from kataloom.sources import platform  # noqa: F401 - registers its collector
 from kataloom.sources.collect import available, collector, run_collection, utc_now
+from kataloom.sources.lexicon import Fetcher, as_text, fetch_lexicon, lexicon_source, lexicon_sources
 from kataloom.streaming.incremental import clean_batch
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kataloom")
-    p.add_argument("--store", default="data", help="folder of the tables")
+    p.add_argument("--store", help="folder of the tables (project.database without it)")
     p.add_argument("--config", help="YAML file of settings")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("init", "status", "iterate", "console"):
@@ -34,10 +35,12 @@ def _parser() -> argparse.ArgumentParser:
     k.add_argument("--hard", action="store_true")
     k.add_argument("--top", type=int, default=20)
     c = sub.add_parser("collect")
-    c.add_argument("--source", default="file")
+    c.add_argument("--source")
     c.add_argument("--path")
-    c.add_argument("--limit", type=int, default=500)
-    c.add_argument("--iteration", type=int, default=0)
+    c.add_argument("--limit", type=int)
+    c.add_argument("--iteration", type=int)
+    c.add_argument("--video", action="append", default=[], help="id or address of a video; repeatable")
+    c.add_argument("--pages", type=int, help="pages of threads a selected video")
     c = sub.add_parser("comments")
     c.add_argument("action", choices=("list", "show"))
     c.add_argument("id", nargs="?", type=int)
@@ -54,23 +57,26 @@ def _parser() -> argparse.ArgumentParser:
     d.add_argument("--max", type=int)
     d.add_argument("--dry-run", action="store_true")
     x = sub.add_parser("lexicon")
-    x.add_argument("action", choices=("list", "categories", "propose"))
+    x.add_argument("action", choices=("sources", "fetch", "list", "categories", "propose"))
+    x.add_argument("--source", default="kbbj")
+    x.add_argument("--refresh", action="store_true")
     x.add_argument("--category")
-    x.add_argument("--limit", type=int, default=50)
+    x.add_argument("--limit", type=int)
     r = sub.add_parser("review")
     r.add_argument("--method")
     r.add_argument("--status", default="PENDING")
     r.add_argument("--limit", type=int, default=20)
-    r.add_argument("--approve", type=int, nargs="*", default=[])
-    r.add_argument("--reject", type=int, nargs="*", default=[])
+    r.add_argument("--approve", nargs="*", default=[], help="ids or terms")
+    r.add_argument("--reject", nargs="*", default=[], help="ids or terms")
+    r.add_argument("--details", action="store_true", help="with lexicon entries and example comments")
     return p
 
 
 class Commands:
     """One method per command; each returns the text to print."""
 
-    def __init__(self, store: Store, config: Config) -> None:
-        self.store, self.config = store, config
+    def __init__(self, store: Store, config: Config, fetcher: Fetcher | None = None, progress: Callable[[int, int], None] | None = None) -> None:
+        self.store, self.config, self.fetcher, self.progress = store, config, fetcher, progress
 
     def _show(self, df, limit: int = 50) -> str:
         rows = report.rows_of(df, limit)
@@ -122,11 +128,13 @@ class Commands:
         return f"{self.store.read('keywords').count()} keywords"
 
     def collect(self, a) -> str:
-        options = {"spark": self.store.spark, "path": a.path} if a.source == "file" else {}
-        if a.source not in available():
-            raise SystemExit(f"unknown source {a.source!r}; available: {', '.join(available())}")
-        terms = [r["term"] for r in self.store.read("keywords").where("status = 'ACTIVE'").select("term").collect()]
-        run = run_collection(self.store, collector(a.source, **options), terms, limit=a.limit, iteration=a.iteration)
+        name = a.source or ("youtube" if a.video else self.config.get("collection.default_source"))
+        if name not in available():
+            raise SystemExit(f"unknown source {name!r}; available: {', '.join(available())}")
+        options = {"spark": self.store.spark, "path": a.path} if name == "file" else {"store": self.store, "config": self.config, "videos": a.video, "max_pages": a.pages}
+        terms = [] if a.video else [r["term"] for r in keywords.listed(self.store.read("keywords"), status="ACTIVE").select("term").collect()]
+        limit = a.limit or self.config.get("collection.default_limit")
+        run = run_collection(self.store, collector(name, **options), terms, limit=limit, iteration=self._iteration() if a.iteration is None else a.iteration)
         if run["comments_collected"]:
             self._rematch()
         return report.key_values(run, "Run")
@@ -136,6 +144,9 @@ class Commands:
         if a.action == "show":
             row = browse.with_state(comments.where(F.col("id") == a.id), cleaned)
             terms = browse.terms_per_comment(self.store.read("comment_keyword_matches").where(F.col("comment_id") == a.id), self.store.read("keywords"))
+            detail = cleaned.select(F.col("comment_id").alias("id"), "text_clean", F.array_join("tokens", " ").alias("tokens"), "duplicate_of", "spam_reason", F.col("id").alias("_c"))
+            detail = detail.groupBy("id").agg(F.max_by(F.struct("text_clean", "tokens", "duplicate_of", "spam_reason"), "_c").alias("c"))
+            row = row.drop("text_clean", "tokens", "duplicate_of", "spam_reason").join(detail, "id", "left").select("*", "c.*").drop("c")
             found = report.rows_of(row.join(terms.withColumnRenamed("comment_id", "id"), "id", "left"), 1)
             return report.key_values(found[0]) if found else "no such comment"
         rows = browse.browse(
@@ -174,24 +185,45 @@ class Commands:
 
     def lexicon(self, a) -> str:
         entries = self.store.read("lexicon_entries")
+        if a.action == "sources":
+            return report.table(["source", "status", "url"], [list(r.values()) for r in lexicon_sources(self.config)])
+        done = {}
+        if a.action == "fetch":
+            done = as_text(fetch_lexicon(self.store, lexicon_source(a.source, self.config, self.fetcher), self.config, limit=a.limit, refresh=a.refresh, progress=self.progress))
+            entries = self.store.read("lexicon_entries")
         if a.action == "categories":
             return self._show(lexicon.category_histogram(entries))
         if a.action == "list":
-            return self._show(lexicon.entries_of_category(entries, a.category, a.limit).select("term", "category", "definition"), a.limit)
+            return self._show(lexicon.entries_of_category(entries, a.category, a.limit or 50).select("term", "category", "definition"), a.limit or 50)
         old = self.store.read("keyword_candidates")
         respect = self.config.get("discovery.respect_previous_rejections")
-        rows = lexicon.proposals(entries, self.store.read("keywords"), old, self.store.read("cleaned_comments"), respect_rejections=respect)
+        rows = lexicon.proposals(entries, self.store.read("keywords"), old, self.store.read("cleaned_comments"), respect_rejections=respect, source=a.source if a.action == "fetch" else None)
         new = lexicon.proposed_candidates(rows, iteration=self._iteration(), now=utc_now())
         self.store.overwrite("keyword_candidates", review.append_candidates(old, new))
-        return self._show(rows.groupBy("outcome").count())
+        outcomes = self._show(rows.groupBy("outcome").count())
+        return report.key_values(done, "Lexicon") + "\n\n" + outcomes if done else outcomes
 
     def review(self, a) -> str:
         table = self.store.read("keyword_candidates")
-        events = [(i, s, utc_now()) for s, ids in (("APPROVED", a.approve), ("REJECTED", a.reject)) for i in ids]
+        events, unknown = [], []
+        for s, asked in (("APPROVED", a.approve), ("REJECTED", a.reject)):
+            events += [(int(x), s, utc_now()) for x in asked if x.isdigit()]
+            if words := [(x,) for x in asked if not x.isdigit()]:
+                for r in review.pending_of_terms(table, self.store.spark.createDataFrame(words, "asked string")).collect():
+                    if r["id"] is None:
+                        unknown.append(r["asked"])
+                    else:
+                        events.append((r["id"], s, utc_now()))
         if events:
             self.store.overwrite("keyword_candidates", review.decided(table, self.store.spark.createDataFrame(events, "id bigint, status string, reviewed_at string")))
             table = self.store.read("keyword_candidates")
-        return self._show(review.queue(table, status=a.status, method=a.method, limit=a.limit).select("id", "term", "source_method", "frequency", "score"), a.limit)
+        rows = review.queue(table, status=a.status, method=a.method, limit=a.limit)
+        said = "".join(f"no pending candidate: {x}\n" for x in unknown)
+        if a.details:
+            known = (self.store.read(t) for t in ("lexicon_entries", "cleaned_comments", "comments"))
+            rows = review.with_details(rows, *known).orderBy(F.desc("score"), F.desc("frequency"), "id")
+            return said + "\n\n".join(report.key_values({k: "; ".join(v) if isinstance(v, list) else v for k, v in r.items() if v is not None}, r["term"]) for r in report.rows_of(rows, a.limit))
+        return said + self._show(rows.select("id", "term", "source_method", "frequency", "score"), a.limit)
 
     def iterate(self, a) -> str:
         table = self.store.read("keywords")
@@ -204,20 +236,16 @@ class Commands:
 
 def main(argv: Sequence[str] | None = None) -> int:
     args = _parser().parse_args(argv)
-    store = Store(local_session("*"), args.store)
-    commands = Commands(store, Config.load(args.config))
+    config = Config.load(args.config)
+    store = Store(local_session("*"), args.store or config.get("project.database"))
+    bar = (lambda done, total: print(f"\r{report.bar(done, total, 30)} {done}/{total}", end="\n" if done == total else "", file=sys.stderr)) if sys.stderr.isatty() else None
+    commands = Commands(store, config, progress=bar)
     if args.command != "console":
         print(getattr(commands, args.command)(args))
         return 0
-    while (line := (print("kataloom> ", end="", flush=True), sys.stdin.readline())[1]) and line.strip() not in ("exit", "quit"):
-        try:
-            if words := shlex.split(line):
-                part = _parser().parse_args(words)
-                print(getattr(commands, part.command)(part) if part.command != "console" else "already here")
-        except SystemExit:
-            pass
-        except Exception as e:  # noqa: BLE001 - the console goes on
-            print(f"error: {e}")
+    from kataloom.console import Console
+
+    Console(commands, _parser()).loop()
     return 0
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
+from kataloom.functions import text as T
 from kataloom.operators.keywords import add_keywords, validated
 
 
@@ -56,3 +57,23 @@ def promote_approved(candidates: DataFrame, keywords: DataFrame, *, iteration: i
     """The keyword snapshot with the promoted candidates, as of ``iteration`` (the current one plus 1)."""
     rows = promotions(candidates, keywords).where("promoted").select("term", "type", F.col("provenance").alias("discovered_from"), "place")
     return add_keywords(keywords, rows, iteration=iteration, now=now)
+
+
+def with_details(candidates: DataFrame, entries: DataFrame, cleaned: DataFrame, comments: DataFrame) -> DataFrame:
+    """Candidates with what helps to judge them: category, definition and example of the lexicon entry they come from, and example comments.
+
+    A candidate belongs to the entry whose address it was discovered at; ``in_comments`` are the shortest usable comments that hold the term.
+    """
+    from kataloom.operators.matching import example_comments
+
+    known = entries.where("url is not null and not excluded").groupBy("url").agg(*[F.first(c).alias(c) for c in ("category", "definition", "example")])
+    rows = candidates.join(known.withColumnRenamed("url", "_url"), (F.col("source_method") == "LEXICON") & (F.col("discovered_from") == F.col("_url")), "left").drop("_url")
+    found = example_comments(cleaned, comments, candidates).withColumnRenamed("example", "_text")
+    texts = found.groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.length("_text").alias("n"), "comment_id", "_text"))).alias("_t"))
+    return rows.join(texts.select("term", F.col("_t._text").alias("in_comments")), "term", "left").select(*candidates.columns, "category", "definition", "example", "in_comments")
+
+
+def pending_of_terms(candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """(asked, id): for each asked term its pending candidate of the latest iteration, null if there is none."""
+    last = latest_pending(candidates).select(F.col("term").alias("_n"), "id")
+    return terms.withColumn("_n", T.normal_term(F.col("asked"))).join(last, "_n", "left").select("asked", "id")

@@ -28,16 +28,16 @@ def video_id(value: Column) -> Column:
     return found
 
 
-def flatten_pages(pages: DataFrame, json_col: str = "json", *, keep_author: bool = False, watch: str = "https://www.youtube.com/watch") -> DataFrame:
+def flatten_pages(pages: DataFrame, json_col: str = "json", *, keep_author: bool = False, video_id: str | None = None, watch: str = "https://www.youtube.com/watch") -> DataFrame:
     """(source, source_id, text, author_id, created_at, url, keyword) of the threads and replies in JSON pages.
 
     Nodes without an id or with a blank text are dropped, the original text is preferred to the displayed one, and
-    display names are never read. ``pages`` may have a column keyword.
+    display names are never read. ``pages`` may have a column keyword; ``video_id`` is the video of threads that don't name theirs.
     """
     keyword = F.col("keyword") if "keyword" in pages.columns else F.lit(None).cast("string")
     items = pages.select(keyword.alias("keyword"), F.explode(F.from_json(json_col, PAGE)["items"]).alias("i"))
     nodes = F.concat(F.array("i.snippet.topLevelComment"), F.coalesce("i.replies.comments", F.array().cast(f"array<{NODE}>")))
-    rows = items.select("keyword", F.col("i.snippet.videoId").alias("video"), F.explode(nodes).alias("n"))
+    rows = items.select("keyword", F.coalesce(F.lit(video_id).cast("string"), "i.snippet.videoId").alias("video"), F.explode(nodes).alias("n"))
     rows = rows.select("keyword", "video", F.col("n.id").alias("source_id"), F.coalesce("n.snippet.textOriginal", "n.snippet.textDisplay").alias("text"), F.col("n.snippet.publishedAt").alias("created_at"), F.col("n.snippet.authorChannelId.value").alias("author"))
     rows = rows.where("source_id is not null and length(trim(text)) > 0")
     url = F.concat(F.lit(watch + "?v="), "video", F.lit("&lc="), "source_id")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 import urllib.error
 import urllib.request
 import urllib.robotparser
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any, Protocol
@@ -17,22 +18,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from kataloom.sources.files import check_path, read_comments
+from kataloom.sources.files import read_comments, require_path
 
 #: Answers of a server after which a request is repeated.
 RETRIED = (429, 500, 502, 503, 504)
 
 
-class QuotaExceeded(Exception):
+class CollectorError(Exception):
+    """A source failed."""
+
+
+class NotConfigured(CollectorError):
+    """A source lacks a setting without which it can't begin."""
+
+
+class QuotaExceeded(CollectorError):
     """The source's budget is used up; what was collected counts."""
 
 
 class Collector(Protocol):
+    """``batches`` hands over records as they come; each batch is stored before the next is asked for.
+
+    Optional: needs_keywords (default True), quota_used, run_params() before and run_stats() after a run.
+    """
+
     name: str
 
     def check_ready(self) -> None: ...
 
-    def collect(self, keywords: Sequence[str], limit: int) -> DataFrame: ...
+    def batches(self, keywords: Sequence[str], limit: int) -> Iterator[DataFrame]: ...
 
 
 _collectors: dict[str, Callable[..., Collector]] = {}
@@ -61,10 +75,12 @@ class FileCollector:
     name: str = "file"
 
     def check_ready(self) -> None:
-        check_path(self.path)
+        require_path(self.spark, self.path)
+
+    needs_keywords = False
 
-    def collect(self, keywords: Sequence[str], limit: int) -> DataFrame:
-        return read_comments(self.spark, self.path, limit)
+    def batches(self, keywords: Sequence[str], limit: int) -> Iterator[DataFrame]:
+        yield read_comments(self.spark, self.path, limit)
 
 
 register("file", FileCollector)
@@ -101,30 +117,35 @@ def trigger_links(records: DataFrame, comments: DataFrame, keywords: DataFrame)
 
 
 def run_collection(store: Any, source: Collector, keywords: Sequence[str], *, limit: int = 500, iteration: int = 0, now: Callable[[], str] = utc_now) -> dict[str, Any]:
-    """One run: an audit row that begins as RUNNING and ends as SUCCESS, PARTIAL (quota, interrupt) or FAILED."""
+    """One run: an audit row that begins as RUNNING and ends as SUCCESS, PARTIAL (quota, interrupt) or FAILED.
+
+    Batches are stored one by one, so what came before a run ended early stays.
+    """
     source.check_ready()
+    if not keywords and getattr(source, "needs_keywords", True):
+        raise CollectorError("no active keywords")
     runs = store.read("collection_runs")
     run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
+    params = {"limit": limit, "keywords": list(keywords)} | (source.run_params() if hasattr(source, "run_params") else {})
     run: dict[str, Any] = {
         "id": run_id, "source": source.name, "iteration": iteration, "started_at": now(), "finished_at": None, "keyword_count": len(keywords),
-        "comments_collected": 0, "status": "RUNNING", "error": None, "params": f'{{"limit": {limit}}}', "quota_used": 0,
+        "comments_collected": 0, "status": "RUNNING", "error": None, "params": json.dumps(params, ensure_ascii=False), "quota_used": 0,
     }
     store.upsert("collection_runs", store.rows("collection_runs", [run]))
     try:
-        records = source.collect(keywords, limit)
-        before = store.read("comments")
-        fresh = new_comments(before, records, run_id=run_id, collected_at=now())
-        store.append("comments", fresh)
-        stored = store.read("comments")
-        run["comments_collected"] = stored.where(F.col("run_id") == run_id).count()
-        links = trigger_links(records, stored, store.read("keywords"))
-        store.upsert("comment_keywords", links)
+        for records in source.batches(keywords, limit):
+            fresh = new_comments(store.read("comments"), records, run_id=run_id, collected_at=now())
+            store.append("comments", fresh)
+            links = trigger_links(records, store.read("comments"), store.read("keywords"))
+            store.upsert("comment_keywords", links)
         run["status"] = "SUCCESS"
     except (QuotaExceeded, KeyboardInterrupt) as e:
         run |= {"status": "PARTIAL", "error": str(e) or type(e).__name__}
     except Exception as e:  # noqa: BLE001 - the run's row records whatever went wrong
-        run |= {"status": "FAILED", "error": str(e)[:2000]}
-    run["finished_at"] = now()
+        run |= {"status": "FAILED", "error": f"{type(e).__name__}: {e}"[:2000]}
+    params |= source.run_stats() if hasattr(source, "run_stats") else {}
+    run["comments_collected"] = store.read("comments").where(F.col("run_id") == run_id).count()
+    run |= {"finished_at": now(), "params": json.dumps(params, ensure_ascii=False), "quota_used": getattr(source, "quota_used", 0)}
     store.upsert("collection_runs", store.rows("collection_runs", [run]))
     return run
 
@@ -132,8 +153,8 @@ def run_collection(store: Any, source: Collector, keywords: Sequence[str], *, li
 class PoliteFetcher:
     """GET with robots.txt, a least delay between requests, and retries with growing waits."""
 
-    def __init__(self, agent: str = "kataloom", delay: float = 2.0, retries: int = 3, backoff: float = 2.0, opener: Callable[..., Any] = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.agent, self.delay, self.retries, self.backoff, self.opener, self.sleep = agent, delay, retries, backoff, opener, sleep
+    def __init__(self, agent: str = "kataloom", delay: float = 2.0, retries: int = 3, backoff: float = 2.0, robots: bool = True, opener: Callable[..., Any] = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.agent, self.delay, self.retries, self.backoff, self.opener, self.sleep, self.obeys = agent, delay, retries, backoff, opener, sleep, robots
         self.robots: dict[str, urllib.robotparser.RobotFileParser] = {}
         self.last = 0.0
 
@@ -151,7 +172,7 @@ class PoliteFetcher:
         return self.robots[base].can_fetch(self.agent, url)
 
     def get(self, url: str) -> str:
-        if not self.allowed(url):
+        if self.obeys and not self.allowed(url):
             raise PermissionError(f"robots.txt forbids {url}")
         for attempt in range(self.retries + 1):
             wait = self.delay - (time.monotonic() - self.last)

@@ -51,6 +51,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
 
 
+def require_path(spark: SparkSession, path: str) -> str:
+    """The format of a path, after a check that something is there, on whatever file system it names."""
+    kind = check_path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        raise FileNotFoundError(path)
+    return kind
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return {".json": read_json, ".jsonl": read_jsonl, ".csv": read_csv}[check_path(path)](spark, path)
 

@@ -16,11 +16,12 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 ENTRY = r"/kata/([^/?#]+)/?$"
 
 
-def sitemap_urls(sitemaps: DataFrame, xml_col: str = "xml", path: str = ENTRY) -> DataFrame:
-    """(url) of a sitemap's <loc> elements whose path is that of an entry, each once."""
+def sitemap_urls(sitemaps: DataFrame, xml_col: str = "xml", path: str = ENTRY, *, ordered: bool = False) -> DataFrame:
+    """(url) of a sitemap's <loc> elements whose path is that of an entry, each once; (place, url) with repeats if ``ordered``."""
     locs = F.xpath(F.col(xml_col), F.lit("//*[local-name()='loc']/text()"))
-    rows = sitemaps.select(F.explode(locs).alias("url")).select(F.trim("url").alias("url"))
-    return rows.where(F.regexp_replace("url", r"[?#].*$", "").rlike(path)).distinct()
+    rows = sitemaps.select(F.posexplode(locs).alias("place", "url")).select("place", F.trim("url").alias("url"))
+    rows = rows.where(F.regexp_replace("url", r"[?#].*$", "").rlike(path))
+    return rows if ordered else rows.select("url").distinct()
 
 
 def entry_key(url: Column, path: str = ENTRY) -> Column:

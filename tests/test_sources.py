@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kataloom import report
 from kataloom.cli import main
 from kataloom.operators.store import Store, merged_videos
-from kataloom.schema import TABLES, orphans, violations
+from kataloom.schema import RAW_RECORD, TABLES, orphans, violations
 from kataloom.sources import api, collect, files, html
 from kataloom.streaming.incremental import cleaning_stream, exact_deduplicated
 
@@ -87,14 +87,21 @@ def test_collection_run(store, tmp_path):
         name = "broken"
         check_ready = staticmethod(lambda: None)
 
-        def collect(self, keywords, limit):
+        def batches(self, keywords, limit):
             raise RuntimeError("no")
 
     class Spent(Broken):
-        def collect(self, keywords, limit):
+        def batches(self, keywords, limit):
+            yield store.spark.createDataFrame([("broken", "z9", "sebelum kuota habis", None, None, None, "x")], RAW_RECORD)
             raise collect.QuotaExceeded("spent")
 
-    assert collect.run_collection(store, Broken(), [])["status"] == "FAILED" and collect.run_collection(store, Spent(), [])["status"] == "PARTIAL"
+    spent = collect.run_collection(store, Spent(), ["x"])
+    assert collect.run_collection(store, Broken(), ["x"])["status"] == "FAILED" and (spent["status"], spent["comments_collected"]) == ("PARTIAL", 1)
+    assert store.read("comments").where("source_id = 'z9'").count() == 1
+    with pytest.raises(collect.CollectorError):
+        collect.run_collection(store, Broken(), [])
+    with pytest.raises(FileNotFoundError):
+        collect.collector("file", spark=store.spark, path=str(tmp_path / "none.json")).check_ready()
     assert store.read("collection_runs").count() == 4
     with pytest.raises(ValueError):
         collect.collector("none")
