@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +91,46 @@ def counted_items(df: DataFrame, key: str, items: Column) -> DataFrame:
     return df.select(key, F.explode(items).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def item_frequencies(df: DataFrame, items: Column) -> DataFrame:
-    """(term, count, doc_freq) of the items of all arrays, each row being a document.
+#: Tokens of the rows that are folded at once.
+FOLD = 500_000
 
-    Occurrences and documents are two streams into one grouped sum: both are combined per task, and only the terms
-    are shuffled, with no distinct count.
+
+def folded_rows(tokens: pa.ListArray, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """Blocks (rows, terms, codes, counts) of the n-grams of all sizes of a batch of token arrays.
+
+    Each entry is an n-gram of a row, given as the place of its term, with its count in the row; entries are ordered by row.
+    """
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + FOLD, "right")))
+        part = tokens.slice(first, last - first)
+        flat = part.flatten()
+        row = np.repeat(np.arange(first, last), lengths[first:last])
+        grams, rows = [], []
+        for k in sizes:
+            at = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :]) if len(row) >= k else np.empty(0, np.int64)
+            grams.append(flat if k == 1 else pc.binary_join_element_wise(*[flat.take(pa.array(at + j)) for j in range(k)], " "))
+            rows.append(row[at])
+        both = pa.concat_arrays([g.cast(pa.string()) for g in grams]).dictionary_encode()
+        words = max(1, len(both.dictionary))
+        entry, n = np.unique(np.concatenate(rows) * words + both.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        yield entry // words, both.dictionary, entry % words, n
+        first = last
+
+
+def ngram_frequencies(df: DataFrame, tokens_col: str, sizes: Sequence[int]) -> DataFrame:
+    """(term, count, doc_freq) of the n-grams of all rows, each row being a document.
+
+    A block of rows is folded before it leaves its task, so what is shuffled are sums for the block's terms.
     """
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    every = df.select(F.explode(items).alias("term"), one.alias("n"), none.alias("d"))
-    once = df.select(F.explode(F.array_distinct(items)).alias("term"), none.alias("n"), one.alias("d"))
-    return every.union(once).groupBy("term").agg(F.sum("n").alias("count"), F.sum("d").alias("doc_freq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, terms, codes, n in folded_rows(batch.column(0), sizes):
+                count, docs = np.bincount(codes, n, len(terms)), np.bincount(codes, minlength=len(terms))
+                yield pa.RecordBatch.from_arrays([terms, pa.array(count.astype(np.int64)), pa.array(docs.astype(np.int64))], names=["term", "n", "d"])
+
+    parts = df.select(F.array_compact(tokens_col).alias("t")).mapInArrow(run, "term string, n bigint, d bigint")
+    return parts.groupBy("term").agg(F.sum("n").alias("count"), F.sum("d").alias("doc_freq"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from kataloom.config import Config
-from kataloom.functions.tokens import all_ngrams, counted_items, item_frequencies
+from kataloom.functions.tokens import all_ngrams, counted_items, folded_rows, ngram_frequencies
 from kataloom.session import staged
 
+#: Most terms whose document frequencies are sent to the tasks.
+TERMS = 500_000
 METRICS = ("pmi", "npmi", "raw")
 METHODS = ("frequency", "ngram", "tfidf", "cooccurrence")
 
@@ -29,33 +34,67 @@ def corpus_totals(docs: DataFrame) -> DataFrame:
 
 def term_frequency(docs: DataFrame) -> DataFrame:
     """(term, count, doc_freq, relative), most frequent first. One shuffle, on the term, of counts combined per task."""
-    counts = item_frequencies(docs, F.col("tokens"))
+    counts = ngram_frequencies(docs, "tokens", [1])
     total = docs.agg(F.sum(F.size("tokens"))).first()[0] or 0
     return counts.withColumn("relative", F.col("count") / F.lit(total)).orderBy(F.desc("count"), "term")
 
 
 def count_ngrams(docs: DataFrame, sizes: Sequence[int], min_frequency: int = 1) -> DataFrame:
     """(term, size, count, doc_freq) of the n-grams of all sizes that occur at least ``min_frequency`` times."""
-    out = item_frequencies(docs, all_ngrams(F.col("tokens"), sizes)).where(F.col("count") >= min_frequency)
-    return out.select("term", (F.regexp_count("term", F.lit(" ")) + 1).alias("size"), "count", "doc_freq").orderBy(F.desc("count"), "size", "term")
+    return sized(ngram_frequencies(docs, "tokens", sizes)).where(F.col("count") >= min_frequency).orderBy(F.desc("count"), "size", "term")
 
 
-def tfidf(docs: DataFrame, sizes: Sequence[int] = (1,), *, sublinear_tf: bool = True, smooth_idf: bool = True) -> DataFrame:
+def sized(counts: DataFrame) -> DataFrame:
+    return counts.select("term", (F.regexp_count("term", F.lit(" ")) + 1).alias("size"), "count", "doc_freq")
+
+
+def tfidf(docs: DataFrame, sizes: Sequence[int] = (1,), *, sublinear_tf: bool = True, smooth_idf: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """(term, score, doc_freq, max_weight): the sum and the maximum of a term's L2-normalised weights over documents.
 
-    The norm of a document spans the n-grams of all sizes. The counts per document are shuffled once and read by both sides of the join.
+    The norm of a document spans the n-grams of all sizes; each row is a document. ``counts`` are the n-grams' document
+    frequencies, if they are known already. Up to TERMS terms of two documents or more, their frequencies are sent to the tasks
+    (every other term has one), and weights are summed where the rows are; beyond that, terms are joined by a shuffle.
     """
-    grams = counted_items(docs, "comment_id", all_ngrams(F.col("tokens"), sizes))
     n = docs.count()
-    df = grams.groupBy("term").agg(F.count("*").alias("df"))
+    counts = staged(ngram_frequencies(docs, "tokens", sizes), "counts") if counts is None else counts
+    several = counts.where("doc_freq > 1").select("term", "doc_freq")
+    if several.count() > TERMS:
+        return _tfidf_by_join(docs, sizes, sublinear_tf, smooth_idf, counts, n).orderBy(F.desc("score"), "term")
+    table = several.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((table.column("term").combine_chunks(), table.column("doc_freq").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            for rows, terms, codes, times in folded_rows(batch.column(0), sizes):
+                if not len(rows):
+                    continue
+                at = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False)
+                df = np.where(at < 0, 1, often[at]) if len(often) else np.ones(len(terms))
+                idf = np.log1p(n / df) if smooth_idf else np.log(n / df)
+                w = (1 + np.log(times) if sublinear_tf else times) * idf[codes]
+                row = rows - rows[0]
+                norm = np.sqrt(np.bincount(row, w * w))[row]
+                x = w / np.where(norm > 0, norm, 1.0)
+                order = np.argsort(codes, kind="stable")
+                most = np.maximum.reduceat(x[order], np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0]))
+                parts = (np.bincount(codes, x, len(terms)), np.bincount(codes, minlength=len(terms)).astype(np.int64), most)
+                yield pa.RecordBatch.from_arrays([terms, *map(pa.array, parts)], names=["term", "s", "d", "m"])
+
+    parts = docs.select(F.array_compact("tokens").alias("t")).mapInArrow(run, "term string, s double, d bigint, m double")
+    out = parts.groupBy("term").agg(F.sum("s").alias("score"), F.sum("d").alias("doc_freq"), F.greatest(F.max("m"), F.lit(0.0)).alias("max_weight"))
+    return out.orderBy(F.desc("score"), "term")
+
+
+def _tfidf_by_join(docs: DataFrame, sizes: Sequence[int], sublinear_tf: bool, smooth_idf: bool, counts: DataFrame, n: int) -> DataFrame:
+    grams = counted_items(docs.withColumn("_row", F.monotonically_increasing_id()), "_row", all_ngrams(F.array_compact("tokens"), sizes))
     ratio = F.lit(float(n)) / F.col("df")
     idf = F.log1p(ratio) if smooth_idf else F.log(ratio)
     tf = 1 + F.log("tf") if sublinear_tf else F.col("tf").cast("double")
-    weighted = grams.join(df, "term").select("comment_id", "term", (tf * idf).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Wd.partitionBy("comment_id")))
+    weighted = grams.join(counts.select("term", F.col("doc_freq").alias("df")), "term").select("_row", "term", (tf * idf).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Wd.partitionBy("_row")))
     unit = weighted.withColumn("x", F.col("w") / F.when(norm > 0, norm).otherwise(1.0))
-    out = unit.groupBy("term").agg(F.sum("x").alias("score"), F.count("*").alias("doc_freq"), F.greatest(F.max("x"), F.lit(0.0)).alias("max_weight"))
-    return out.orderBy(F.desc("score"), "term")
+    return unit.groupBy("term").agg(F.sum("x").alias("score"), F.count("*").alias("doc_freq"), F.greatest(F.max("x"), F.lit(0.0)).alias("max_weight"))
 
 
 def window_pairs(tokens: Column, window: int) -> Column:

@@ -2,17 +2,47 @@
 
 Every step is a grouped minimum and one equi-join on the edge table, so nothing is collected: neither a
 component nor a node's neighbours ever become one value or one task's list. Each round is written to the shared
-scratch folder, which keeps the plan short and the job restartable after the loss of an executor.
+scratch folder, which keeps the plan short and the job restartable after the loss of an executor. A counted, small
+edge table is joined by one task instead, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kataloom.session import staged
 
 
+#: Up to so many links, one task joins them; more are worked on by rounds over all tasks.
+FEW = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of at most FEW links, by union-find."""
+    above: dict = {}
+
+    def top(x):
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above.setdefault(up, up)
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            ra, rb = top(a), top(b)
+            if ra != rb:
+                above[max(ra, rb)] = min(ra, rb)
+    nodes = list(above)
+    for first in range(0, len(nodes), 100_000):
+        part = nodes[first : first + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([top(x) for x in part], kind)], names=["node", "root"])
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a > b): link neighbours to the smallest one in reach."""
     if large:
@@ -40,6 +70,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         .distinct(),
         "edges",
     )
+    if now.count() <= FEW:
+        kind = now.schema["a"].dataType.simpleString()
+        return staged(now.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"), "components", [now])
     mark = None
     for _ in range(max_rounds):
         now = staged(_star(_star(now, large=True), large=False), "stars", [now])

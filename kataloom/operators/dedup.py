@@ -120,11 +120,12 @@ def near_pairs(values: DataFrame, bits: int = 64, threshold: int = 3) -> DataFra
     """
     tables = _tables(values.count(), bits, threshold)
     keyed = values.select("id", "v", F.posexplode(F.array(*[_key(t) for t in tables])).alias("band", "key"))
-    hot = staged(keyed.groupBy("band", "key").count().where(F.col("count") > HOT_BUCKET).select("band", "key"), "hot")
+    hot = keyed.groupBy("band", "key").count().where(F.col("count") > HOT_BUCKET).select("band", "key")
     cell = ["band", "key", "part"]
     if hot.isEmpty():
         cells = keyed.withColumn("part", F.lit(0).cast("bigint"))
     else:
+        hot = staged(hot, "hot")
         finer = F.coalesce(*[F.when(F.col("band") == i, F.array(*[_key(x) for x in _split(t, bits, threshold)])) for i, t in enumerate(tables)])
         split = keyed.join(hot, ["band", "key"]).select("id", "v", "band", "key", F.posexplode(finer).alias("sub", "low"))
         split = split.select("id", "v", "band", "key", F.xxhash64("sub", "low").alias("part"))
@@ -159,16 +160,21 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def first_independent_set(edges: DataFrame) -> DataFrame:
     """(id, original) for the nodes of ``edges`` (a < b): the greedy choice in id order.
 
-    Components of at most LOCAL links are resolved in one pass over their links in the order of nodes, by one task each, so
-    a long chain costs nothing more. Larger ones are resolved by rounds over all their nodes, as many as it takes.
+    Up to LOCAL links are resolved in one pass over them in the order of nodes, by one task, so a long chain costs nothing more.
+    Of more links, that is done for each component of at most LOCAL. Larger ones are resolved by rounds over all their nodes, as many as it takes.
     """
     edges = staged(edges.select("a", "b"), "near")
+    late = edges.select("b").distinct()
+    lone = edges.select(F.col("a").alias("b")).distinct().join(late, "b", "left_anti")
+    if edges.count() <= LOCAL:
+        zero, none = F.lit(0).cast("bigint").alias("root"), F.lit(None).cast("bigint").alias("a")
+        rows = edges.select(zero, "a", "b").union(lone.select(zero, none, "b"))
+        return rows.coalesce(1).sortWithinPartitions("b").mapInArrow(_in_order, "id bigint, original boolean")
     roots = connected_components(edges).select(F.col("node").alias("b"), "root")
     rooted = edges.join(roots, "b")
     sizes = staged(rooted.groupBy("root").count().where(F.col("count") > LOCAL).select("root"), "big")
     # A node without an earlier neighbour is in: it comes as a row without a.
-    late = edges.select("b").distinct()
-    lone = edges.select(F.col("a").alias("b")).distinct().join(late, "b", "left_anti").join(roots, "b").select("root", F.lit(None).cast("bigint").alias("a"), "b")
+    lone = lone.join(roots, "b").select("root", F.lit(None).cast("bigint").alias("a"), "b")
     rows = rooted.select("root", "a", "b").union(lone)
     if sizes.isEmpty():
         return rows.repartition("root").sortWithinPartitions("root", "b").mapInArrow(_in_order, "id bigint, original boolean")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from kataloom.config import Config
 from kataloom.functions import text as T
-from kataloom.functions.tokens import tokenized
-from kataloom.operators.analysis import cooccurrence, count_ngrams, pair_value, tfidf
+from kataloom.functions.tokens import ngram_frequencies, tokenized
+from kataloom.operators.analysis import cooccurrence, pair_value, sized, tfidf
 from kataloom.session import staged
 
 SIGNALS = ("frequency", "tfidf", "cooccurrence", "ngram")
@@ -37,9 +37,9 @@ def blocked_terms(keywords: DataFrame, candidates: DataFrame | None, forms: Data
     return out.where("term is not null").distinct()
 
 
-def candidate_pool(docs: DataFrame, blocked: DataFrame, sizes: list[int], *, min_doc_freq: int = 3, min_length: int = 3) -> DataFrame:
-    """(term, size, count, doc_freq) of the n-grams that may become candidates."""
-    grams = count_ngrams(docs, sizes).where((F.col("doc_freq") >= min_doc_freq) & (F.length("term") >= min_length))
+def candidate_pool(docs: DataFrame, blocked: DataFrame, sizes: list[int], *, min_doc_freq: int = 3, min_length: int = 3, counts: DataFrame | None = None) -> DataFrame:
+    """(term, size, count, doc_freq) of the n-grams that may become candidates; ``counts`` are the n-grams', if they are known already."""
+    grams = sized(ngram_frequencies(docs, "tokens", sizes) if counts is None else counts).where((F.col("doc_freq") >= min_doc_freq) & (F.length("term") >= min_length))
     return grams.where(~F.replace("term", F.lit(" "), F.lit("")).rlike(r"^\p{Nd}+$")).join(blocked, "term", "left_anti")
 
 
@@ -64,8 +64,9 @@ def score_candidates(docs: DataFrame, forms: DataFrame, blocked: DataFrame, conf
     """
     config = config or Config()
     sizes, d, c = config.get("analysis.ngram.sizes"), config.section("discovery"), config.get("analysis.cooccurrence")
-    pool = staged(candidate_pool(docs, blocked, sizes, min_doc_freq=d["min_doc_frequency"], min_length=d["min_term_length"]), "pool")
-    scores = tfidf(docs, sizes, **config.get("analysis.tfidf")).select("term", F.col("score").alias("raw_tfidf"))
+    counts = staged(ngram_frequencies(docs, "tokens", sizes), "counts")
+    pool = staged(candidate_pool(docs, blocked, sizes, counts=counts, min_doc_freq=d["min_doc_frequency"], min_length=d["min_term_length"]), "pool")
+    scores = tfidf(docs, sizes, counts=counts, **config.get("analysis.tfidf")).select("term", F.col("score").alias("raw_tfidf"))
     near = seed_association(docs, forms, **c)
     words = pool.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("token")).join(near, "token")
     best = words.groupBy("term").agg(F.max(F.struct("value", "seed_token")).alias("b")).select("term", F.col("b.value").alias("raw_cooccurrence"), F.col("b.seed_token").alias("seed_token"))

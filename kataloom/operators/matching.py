@@ -11,8 +11,6 @@ from kataloom.functions.tokens import all_ngrams
 
 #: A dictionary of more terms than this is joined by a shuffle instead of being sent to all executors.
 SMALL = 50_000
-#: Most terms without a word, see whole_word_matches.
-SIGNS = 1_000
 
 
 def keyword_forms(keywords: DataFrame, config: Config | None = None, unicode: bool = True) -> DataFrame:
@@ -63,8 +61,8 @@ def most_matched(matches: DataFrame, keywords: DataFrame, top: int = 20) -> Data
 def whole_word_matches(texts: DataFrame, key: str, text_col: str, terms: DataFrame, term_col: str = "term") -> DataFrame:
     """(key, term) for terms that stand in the text with no letter, digit or underscore next to them.
 
-    Terms of plain words are found by an equi-join on runs of words: a text can only hold the term where its words
-    stand, so only rows that share the words are tested on the text itself.
+    Terms are found by an equi-join on runs of words, or of signs for terms without a word: a text can only hold the term
+    where these stand, so only rows that share them are tested on the text itself.
     """
     word = r"[\p{L}\p{N}_]+"
     wanted = terms.select(F.col(term_col).alias("term")).where("term is not null and term <> ''").distinct()
@@ -74,14 +72,14 @@ def whole_word_matches(texts: DataFrame, key: str, text_col: str, terms: DataFra
     rows = texts.select(key, F.col(text_col).alias("_x"), F.regexp_extract_all(text_col, F.lit(word), F.lit(0)).alias("_tokens"))
     near = find_terms(rows, key, F.col("_tokens"), wanted.where("_w <> ''"), "_w").join(wanted, "_w")
     tested = near.join(rows.select(key, "_x"), key).select(key, "_x", "term", "_b")
-    # Terms without a word (pictures, signs) have nothing to join on: they are few and are looked for one by one.
-    signs = [r for r in wanted.where("_w = ''").select("term", "_b").limit(SIGNS + 1).collect()]
-    if len(signs) > SIGNS:
-        raise ValueError(f"more than {SIGNS} terms without a word")
-    if signs:
-        all_signs = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["_b"]).alias("_b")) for r in signs])
-        held = rows.select(key, "_x", F.explode(F.filter(all_signs, lambda t: F.contains(F.col("_x"), t["_b"]))).alias("_s"))
-        tested = tested.unionByName(held.select(key, "_x", "_s.term", "_s._b"))
+    # Terms without a word (pictures, signs) are found the same way, by runs of single signs.
+    sign = r"[^\p{L}\p{N}_\s]"
+    signs = wanted.where("_w = ''").select("term", "_b", F.array_join(F.regexp_extract_all("_b", F.lit(sign), F.lit(0)), " ").alias("_s"))
+    signs = signs.where("_s <> ''")
+    if not signs.isEmpty():
+        marked = rows.where(F.rlike("_x", F.lit(sign)))
+        held = find_terms(marked, key, F.regexp_extract_all("_x", F.lit(sign), F.lit(0)), signs, "_s").join(signs, "_s")
+        tested = tested.unionByName(held.join(rows.select(key, "_x"), key).select(key, "_x", "term", "_b"))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("_b"), F.lit(r"\E(?![\p{L}\p{N}_])"))
     return tested.where(F.rlike("_x", pattern)).select(key, "term").distinct()
 

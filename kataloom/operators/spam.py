@@ -32,7 +32,8 @@ def spam_reasons(raw: Column, raw_tokens: Column, tokens: Column, spam: Mapping[
         ("too_many_urls", T.count_urls(raw), spam["max_urls"]),
         ("too_many_mentions", T.count_mentions(raw), spam["max_mentions"]),
         ("too_many_hashtags", T.count_hashtags(raw), spam["max_hashtags"]),
-        ("char_run", T.longest_run(raw), spam["max_char_run"]),
+        # A run is measured only where there is one of more than the limit.
+        ("char_run", F.when(raw.rlike(rf"(?s)(.)\1{{{int(spam['max_char_run'])}}}"), T.longest_run(raw)).otherwise(0), spam["max_char_run"]),
     ):
         rules.append(rule(code, n > most, n, most))
     rules.append(rule("too_few_tokens", F.size(tokens) < spam["min_tokens_after_clean"], F.size(tokens), spam["min_tokens_after_clean"]))

@@ -12,6 +12,7 @@ from kataloom.functions import text as T
 from kataloom.functions import tokens as K
 from kataloom.functions.words import slang_map, stopwords
 from kataloom.operators import analysis, browse, cleaning, dedup, discovery, keywords, lexicon, matching, review, spam
+from kataloom.session import spread
 from kataloom.sources import api, collect, files, html
 
 CONFIG = Config()
@@ -20,12 +21,17 @@ PLACES = 6
 SINCE, NOW = "2024-04-01T00:00:00Z", "2026-01-01T00:00:00Z"
 
 
+#: The tables that grow.
+LARGE = ("comments", "cleaned_comments", "documents")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in LARGE else table
 
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -56,6 +56,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, over all cores if its files have fewer row groups than there are cores; a large table is left as it is.
+
+    A row group is read by one task, so a table of one file would be worked on by one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def staged(df: DataFrame, name: str, after: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` into the scratch folder and return it as read from there (lineage cut).
 

@@ -28,7 +28,9 @@ def clean_batch(store: Store, batch: DataFrame, config: Config | None = None, no
     sources = store.read("comments").select("id", "source_id").union(batch.select("id", "source_id")).dropDuplicates(["id"])
     rows = clean(batch, config, prior, sources=sources)
     top = prior.agg(F.max("id")).first()[0] or 0
-    rows = rows.select((F.col("comment_id") + F.lit(top)).alias("id"), *[c for c in rows.columns if c != "reasons"], F.lit(now()).cast("timestamp").alias("processed_at"))
+    # Numbered from the largest id on; in range partitions of the comments' ids, so that no task gets all rows.
+    rows = rows.repartitionByRange("comment_id").sortWithinPartitions("comment_id").withColumn("_n", F.monotonically_increasing_id())
+    rows = rows.select((F.col("_n") + F.lit(top + 1)).alias("id"), *[c for c in rows.columns if c not in ("reasons", "_n")], F.lit(now()).cast("timestamp").alias("processed_at"))
     store.append("cleaned_comments", rows)
     stored = store.read("cleaned_comments")
     marked = recount_copypasta(stored, sources, config)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kataloom.config import Config
-from kataloom.operators import analysis, browse, cleaning, dedup, discovery, keywords, lexicon, matching, review, spam
+from kataloom.functions import tokens
+from kataloom.operators import analysis, browse, cleaning, components, dedup, discovery, keywords, lexicon, matching, review, spam
 from kataloom.operators.components import connected_components
 
 CFG = Config({"cleaning": {"normalize_slang": False}})
@@ -21,7 +22,9 @@ def docs(frame, texts):
     return frame([(i, t.split()) for i, t in enumerate(texts, 1)], "comment_id bigint, tokens array<string>")
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components_against_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(5)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7)]
     parent = {}
@@ -39,6 +42,12 @@ def test_components_against_union_find(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    more = spark.createDataFrame([(105, 7), (500, 501), (501, 3)], "a bigint, b bigint")
+    for a, b in ((105, 7), (500, 501), (501, 3)):
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    roots = connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert {r["node"]: r["root"] for r in components.merged_components(roots, more).collect()} == {x: find(x) for x in parent}
 
 
 def test_frequency(frame):
@@ -56,6 +65,29 @@ def test_tfidf(frame):
     assert got["x"] == pytest.approx(math.log(2) / h + 1) and got["y"] == pytest.approx(math.log(3) / h)
 
 
+@pytest.mark.parametrize("sizes", [(1,), (1, 2, 3)])
+def test_tfidf_by_tables_and_by_join(frame, monkeypatch, sizes):
+    rng = random.Random(3)
+    d = docs(frame, [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.choice((0, 1, 2, 9)))) for _ in range(60)])
+    one = {r["term"]: r for r in analysis.tfidf(d, sizes).collect()}
+    monkeypatch.setattr(analysis, "TERMS", 0)
+    two = {r["term"]: r for r in analysis.tfidf(d, sizes).collect()}
+    assert set(one) == set(two) and len(one) > 20
+    for t, r in one.items():
+        assert r["doc_freq"] == two[t]["doc_freq"] and r["score"] == pytest.approx(two[t]["score"]) and r["max_weight"] == pytest.approx(two[t]["max_weight"])
+
+
+def test_ngram_frequencies_by_small_blocks(frame, monkeypatch):
+    rng = random.Random(5)
+    rows = [[f"w{rng.randrange(6)}" for _ in range(rng.choice((0, 1, 2, 3, 40)))] for _ in range(50)] + [None, ["a", None, "b"], []]
+    df = frame([(i, r) for i, r in enumerate(rows)], "comment_id bigint, tokens array<string>")
+    lists = [[t for t in r or [] if t is not None] for r in rows]
+    grams = [[" ".join(r[i : i + k]) for k in (1, 2, 3) for i in range(len(r) - k + 1)] for r in lists]
+    count = {t: (sum(g.count(t) for g in grams), sum(t in g for g in grams)) for t in {t for g in grams for t in g}}
+    monkeypatch.setattr(tokens, "FOLD", 7)
+    assert {r["term"]: (r["count"], r["doc_freq"]) for r in tokens.ngram_frequencies(df, "tokens", [1, 2, 3]).collect()} == count
+
+
 def test_cooccurrence(frame):
     d = docs(frame, ["kopi pagi hujan"] * 3 + ["hujan deras", "kopi susu"])
     got = {(r["left"], r["right"]): r for r in analysis.cooccurrence(d, window=2).collect()}
