@@ -18,10 +18,16 @@ from kataloom.llm.pii import redact_personal_information
 from kataloom.llm.splitting import split_oversized
 from kataloom.llm.termfreq import term_frequencies, usefulness
 from kataloom.llm.tokens import RUNS
+from kataloom.session import spread
+
+
+#: The tables that grow.
+LARGE = ("comments", "cleaned_comments", "documents")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(table) if name in LARGE else table
 
 
 def _counted(spark: SparkSession, folder: str) -> DataFrame:
