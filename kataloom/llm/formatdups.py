@@ -8,8 +8,11 @@ a plain record with the same characters. Digests only select: members of a group
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from kataloom.operators.components import connected_components
 from kataloom.session import staged
@@ -82,3 +85,49 @@ def formatting_duplicates(comments: DataFrame, id_col: str, text_col: str, *, le
     by_key = by_text.groupBy("root", "key").agg(F.min("first").alias("first_id"), F.sum("n").alias("copies")).where("copies > 1")
     sets = by_text.join(by_key, ["root", "key"]).select("root", "plain", "first_id", "copies")
     return members.join(sets, ["root", "plain"]).select("id", "first_id", "copies")
+
+
+def _node(value: Column, kind: DataType, ordered: bool) -> Column:
+    """struct<d, c> of a nested value, bottom-up: its digest, and its canonical form for the confirmation.
+
+    A leaf is its normalised text; a struct or map is an unordered node over its labelled children, without null ones; an array is
+    an ordered node or an unordered one. Children of an unordered node stand in the order of their digests.
+    """
+    made = lambda tag, children: F.struct(F.md5(F.concat(F.lit(tag), F.concat_ws("", F.transform(children, lambda x: x["d"])))).alias("d"), F.concat(F.lit(tag + "("), F.concat_ws("\x1f", F.transform(children, lambda x: x["c"])), F.lit(")")).alias("c"))
+    label = lambda name, x: F.struct(F.md5(F.concat(F.md5(name), x["d"])).alias("d"), F.concat(name, F.lit("\x1e"), x["c"]).alias("c"))
+    if isinstance(kind, StructType):
+        children = F.array(*[F.when(value[f.name].isNotNull(), label(leaf(F.lit(f.name)), _node(value[f.name], f.dataType, ordered))) for f in kind.fields])
+        out = made("s", F.array_sort(F.array_compact(children)))
+    elif isinstance(kind, MapType):
+        entries = F.filter(F.map_entries(value), lambda e: e["value"].isNotNull())
+        out = made("s", F.array_sort(F.transform(entries, lambda e: label(leaf(e["key"].cast("string")), _node(e["value"], kind.valueType, ordered)))))
+    elif isinstance(kind, ArrayType):
+        children = F.transform(value, lambda x: F.coalesce(_node(x, kind.elementType, ordered), F.struct(F.lit("n").alias("d"), F.lit("n").alias("c"))))
+        out = made("a", children) if ordered else made("b", F.array_sort(children))
+    else:
+        text = leaf(value) if isinstance(kind, StringType) else value.cast("string")
+        out = F.struct(F.md5(F.concat(F.lit("t"), text)).alias("d"), F.concat(F.lit("t"), text).alias("c"))
+    return F.when(value.isNotNull(), out)
+
+
+def nested_duplicates(records: DataFrame, id_col: str, columns: Sequence[str], *, ordered: bool = False) -> DataFrame:
+    """(id, first_id, copies) for every record that has a copy, by the nested ``columns``: structs, maps and arrays of any depth.
+
+    Records are the same if their leaves are equal without ASCII blanks and punctuation and regardless of case, whatever the order
+    of fields and map entries and, unless ``ordered``, of array elements. A null field is the same as none; records in which all
+    columns are null are left out, as are null ids. Ids are expected to be unique. An empty table gives no rows.
+
+    Only root digests are shuffled at first, combined before the shuffle; records whose digest occurs more than once send
+    their canonical form, on which groups are made, so equal digests alone make no copy.
+    """
+    schema = records.select(*columns).schema
+    parts = F.struct(*[F.col(f"`{c}`").alias(c) for c in columns])
+    some = F.lit(False)
+    for c in columns:
+        some = some | F.col(f"`{c}`").isNotNull()
+    rows = records.where(F.col(f"`{id_col}`").isNotNull() & some).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), _node(parts, schema, ordered).alias("r"))
+    rows = staged(rows.select("id", F.unhex("r.d").alias("d"), F.col("r.c").alias("c")), "roots")
+    several = rows.groupBy("d").agg(F.count("*").alias("_n")).where("_n > 1").select("d")
+    members = staged(rows.join(several, "d"), "members")
+    groups = members.groupBy("d", "c").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    return members.join(groups, ["d", "c"]).select("id", "first_id", "copies")

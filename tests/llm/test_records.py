@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kataloom.llm import cooccur, nearjoin
 from kataloom.llm.cooccur import cooccurring_items
-from kataloom.llm.formatdups import formatting_duplicates
+from kataloom.llm.formatdups import formatting_duplicates, nested_duplicates
 from kataloom.llm.lookalike import canonical_text, lookalike_groups
 from kataloom.llm.nearjoin import WORD, near_duplicate_groups
 from kataloom.llm.termfreq import term_frequencies, usefulness
@@ -184,3 +184,47 @@ def test_blocks_of_a_large_node_cover_it():
     out = [b for b in nearjoin._compare(0)(batch.slice(k, 60_000) for k in range(0, len(node), 60_000))]
     over = np.concatenate([b.column("a").to_numpy()[b.column("b").is_null().to_numpy(zero_copy_only=False)] for b in out])
     assert len(over) == 250_000 and len(np.unique(over)) == 250_000
+
+
+def test_nested_duplicates(frame):
+    ddl = "id bigint, who struct<name:string,age:int,tags:array<string>>, more map<string,array<struct<k:string,v:double>>>, c string"
+    rows = [
+        (1, ("Budi S.", 30, ["a", "B!"]), {"x": [("k", 1.5)], "y": []}, "z"), (2, ("budi s", 30, ["b", " A"]), {"y": [], "X": [("K ", 1.5)]}, "other"), (3, ("budi s", 31, ["b", "a"]), {"y": [], "x": [("k", 1.5)]}, "z"),
+        (4, ("budi s", 30, ["b", "a", "a"]), {"y": [], "x": [("k", 1.5)]}, "z"), (5, None, None, "z"), (6, None, None, "z"), (7, (None, None, None), None, "z"), (8, (None, None, []), None, "z"), (9, (None, None, None), None, "q"),
+        (None, ("Budi S.", 30, ["a", "B!"]), None, "z"), (10, ("abc", None, None), None, None), (11, ("ab", None, ["c"]), None, None), (12, ("a b-c", None, None), None, None), (13, None, {"x": None}, None), (14, None, {}, None), (15, ("n", None, [None]), None, None), (16, ("n", None, ["n"]), None, None),
+    ]
+    df = frame(rows, ddl)
+    got = {r["id"]: (r["first_id"], r["copies"]) for r in nested_duplicates(df, "id", ["who", "more"]).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 7: (7, 2), 9: (7, 2), 10: (10, 2), 12: (10, 2), 13: (13, 2), 14: (13, 2)}
+    assert 2 not in {r["id"] for r in nested_duplicates(df, "id", ["who", "more"], ordered=True).collect()}
+    assert nested_duplicates(df.limit(0), "id", ["who"]).count() == 0
+
+
+def test_recall_at_the_threshold(frame):
+    """10,000 pairs that share exactly 0.7 of their words, among themselves: at least 0.999 of them, less three deviations, are found."""
+    rng = random.Random(21)
+    vocabulary = [f"kata{k}" for k in range(30_000)]
+    rows = []
+    for i in range(10_000):
+        words = rng.sample(vocabulary, 20)
+        shared, one, two = words[:14], words[14:17], words[17:]
+        rows += [(2 * i, " ".join(shared + one)), (2 * i + 1, " ".join(two + shared))]
+    got = {r["id"]: r["first_id"] for r in near_duplicate_groups(texts(frame, rows), "id", "text", threshold=(7, 10)).collect()}
+    found = sum(got.get(2 * i + 1) == 2 * i for i in range(10_000))
+    assert found >= 10_000 * 0.999 - 3 * math.sqrt(10_000 * 0.001) and set(got.values()) <= set(range(0, 20_000, 2))
+    print(found)
+
+
+def test_a_mass_of_near_copies_gives_a_link_a_row():
+    import pyarrow as pa
+
+    n, words = 8_000, 19
+    flat = np.concatenate([np.r_[np.arange(1, words, dtype=np.int64), 10_000 + i] for i in range(n)])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * words + 1, words), pa.int32()), pa.array(flat))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(np.arange(n)), lists], names=["cell", "id", "words"])
+    links = [b for b in nearjoin._spanning(7, 10, 40)(batch.slice(k, 1000) for k in range(0, n, 1000))]
+    assert sum(b.num_rows for b in links) == n - 1
+    # And a node of near-copies sends out its rows once instead of its pairs.
+    node = [pa.array(x) for x in (np.full(n, 5), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64))]
+    out = [b for b in nearjoin._compare(34)([pa.RecordBatch.from_arrays(node, names=["node", "id", "s1", "s2", "hot"])])]
+    assert sum(b.num_rows for b in out) == n
