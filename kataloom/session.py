@@ -81,12 +81,17 @@ def staged(df: DataFrame, name: str, after: Iterable[DataFrame] = ()) -> DataFra
     return out
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, local or of the cluster, and the path on it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove staged tables. Only for those that no result and no later step reads: what is lost with an executor is read again from them."""
     for df in tables:
         path = getattr(df, "_staged_at", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            fs, at = file_system(df.sparkSession, path)
+            fs.delete(at, True)
             df._staged_at = None

@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kataloom.session import file_system
+
 #: Accepted column names of each field, in the order in which they are looked up.
 ALIASES = {
     "text": ("text", "text_raw", "comment", "komentar", "content", "body", "message"),
@@ -54,8 +56,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def require_path(spark: SparkSession, path: str) -> str:
     """The format of a path, after a check that something is there, on whatever file system it names."""
     kind = check_path(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
         raise FileNotFoundError(path)
     return kind
 

@@ -1,10 +1,12 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from kataloom import report
 from kataloom.cli import main
+from kataloom.operators import store as store_module
 from kataloom.operators.store import Store, merged_videos
 from kataloom.schema import RAW_RECORD, TABLES, orphans, violations
 from kataloom.sources import api, collect, files, html
@@ -123,11 +125,32 @@ def test_store(store):
     assert [(r["keyword"], r["title"], r["comments_fetched"]) for r in found] == [("n", "w", 3), ("n", "t", 3)]
     chosen = merged_videos(store.read("videos"), video(keyword="n", title="w").union(video(video_id="x", keyword="n")), selected=True).orderBy("video_id").collect()
     assert [(r["keyword"], r["title"]) for r in chosen] == [("k", "w"), (None, "t")]
-    assert store.drop_unused() == [] and set(TABLES) == {p.stem for p in store.root.glob("*.json")} - {"schema_version"}
+    assert store.drop_unused() == [] and set(TABLES) == {p.stem for p in Path(store.root).glob("*.json")} - {"schema_version"}
     links = store.rows("comment_keywords", [{"comment_id": 1, "keyword_id": 2}])
     assert orphans(links, "keyword_id", store.read("keywords")).count() == 1
 
 
+def test_store_refuses_lost_updates_and_merges(store, monkeypatch):
+    row = lambda k: store.rows("comment_keywords", [{"comment_id": k, "keyword_id": 1}])
+    since = store.version("comment_keywords")
+    store.append("comment_keywords", row(1))
+    with pytest.raises(store_module.Conflict):
+        store.overwrite("comment_keywords", row(9), since)
+    store.overwrite("comment_keywords", row(2), store.version("comment_keywords"))
+    assert store.read("comment_keywords").count() == 1 and store.drop_unused() == []
+    monkeypatch.setattr(store_module, "PARTS", 2)
+    for k in (3, 4, 5):
+        store.append("comment_keywords", row(k))
+    assert store.read("comment_keywords").count() == 4 and len(store._state("comment_keywords")[1]) <= 2
+    monkeypatch.setattr(store_module, "WAIT", 0.2)
+    Path(store.root, ".comment_keywords.lock").touch()
+    with pytest.raises(store_module.Conflict):
+        store.append("comment_keywords", row(6))
+    monkeypatch.setattr(store_module, "STALE", -1.0)
+    store.append("comment_keywords", row(6))
+    assert store.read("comment_keywords").count() == 5
+
+
 def test_stream_equals_batches(store, spark, tmp_path):
     rows = [{"id": i, "source": "f", "source_id": str(i), "text_raw": t} for i, t in enumerate(["satu komentar yang panjang", "Satu  komentar yang panjang", "komentar lain lagi di sini"], 1)]
     folder = str(tmp_path / "in")
