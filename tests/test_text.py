@@ -70,7 +70,7 @@ def test_token_functions(spark):
 def test_counted_items(spark, frame):
     rows = frame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["b"])], "id int, t array<string>")
     assert sorted(map(tuple, K.counted_items(rows, "id", F.col("t")).collect())) == [(1, "a", 1), (1, "b", 2), (4, "b", 1)]
-    assert sorted(map(tuple, K.item_frequencies(rows, F.col("t")).collect())) == [("a", 1, 1), ("b", 3, 2)]
+    assert sorted(map(tuple, K.ngram_frequencies(rows, "t", [1]).collect())) == [("a", 1, 1), ("b", 3, 2)]
 
 
 def test_terms(spark, frame):
